@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +18,11 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tokens(col) -> Column:
     """Lower-cased runs of letters, digits and underscores."""
     return F.regexp_extract_all(F.lower(_c(col)), F.lit(WORD_CHARS), F.lit(0))
@@ -38,11 +46,15 @@ def ngrams_of(items: Column, n: int) -> Column:
     """Contiguous n-grams of an array, joined by a blank, duplicates kept."""
     if n == 1:
         return items
+    return bind(items, lambda x: _joined(x, n, " "))
+
+
+def _joined(items: Column, n: int, blank: str) -> Column:
     size = F.greatest(F.size(items) - (n - 1), F.lit(0))
     grams = F.slice(items, F.lit(1), size)
     for i in range(1, n):
         grams = F.zip_with(
-            grams, F.slice(items, F.lit(i + 1), size), lambda a, b: F.concat(a, F.lit(" "), b)
+            grams, F.slice(items, F.lit(i + 1), size), lambda a, b: F.concat(a, F.lit(blank), b) if blank else F.concat(a, b)
         )
     return grams
 
@@ -63,13 +75,10 @@ def norm_hard(col) -> Column:
 
 
 def char_trigrams_of(norm: Column) -> Column:
-    n = F.length(norm)
-    return (
-        F.when(n >= 3, F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(norm, i, F.lit(3)))))
-        .when(n > 0, F.array(norm))
-        .otherwise(F.array().cast("array<string>"))
-    )
+    """Distinct trigrams of a normalized string; a shorter string is its own only member."""
+    chars = F.filter(F.split(norm, ""), lambda x: x != "")
+    return bind(chars, lambda x: F.when(F.size(x) >= 3, F.array_distinct(_joined(x, 3, "")))
+                .when(F.size(x) > 0, F.array(F.array_join(x, ""))).otherwise(F.array().cast("array<string>")))
 
 
 def char_trigrams(col) -> Column:
@@ -103,8 +112,6 @@ def edit_ratio(a: Column, b: Column) -> Column:
 
 def sequence_ratio(a: Column, b: Column) -> Column:
     """Matching-block ratio of Python's ``difflib``, for candidate pairs only."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

@@ -1,7 +1,8 @@
 """Data flow of the generate, validate, collect and retry loop over whole DataFrames.
 
 Every stage handles all batches of all languages at once. A batch is a handful of
-seeds, so windows and lists per batch or per seed group stay small.
+seeds, so windows and lists per batch or per seed group stay small. Batch and seed keys
+are never null.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from ..functions.numeric import py_round
 from ..functions.rules import drift_message, feedback_or_default
 from ..functions.text import word_count
 from ..schemas import LANGUAGE_RESPONSE, PLAN_RESPONSE, SENTENCE_RESPONSE, SENTIMENT_RESPONSE
-from ..session import join_on
 
 BATCH = ["lang", "label", "batch_idx"]
 GROUP = BATCH + ["seed_id"]
@@ -86,15 +86,15 @@ def flatten_plans(responses: DataFrame, seeds: DataFrame) -> DataFrame:
     parsed = parse(responses, PLAN_RESPONSE, "seed_analyses").where(F.col("parsed").isNotNull())
     analyses = parsed.select(*BATCH, F.posexplode("parsed").alias("a_pos", "a")).select(*BATCH, "a_pos", "a.*")
     expected = seeds.select(*BATCH, F.col("id").alias("seed_id"))
-    valid = check_bijection(join_on(expected, parsed.select(*BATCH), BATCH, "left_semi"), analyses, BATCH, "seed_id").where("valid")
+    valid = check_bijection(expected.join(parsed.select(*BATCH), BATCH, "left_semi"), analyses, BATCH, "seed_id").where("valid")
     plans = analyses.select(
         *BATCH, "a_pos", "seed_id", "domain", "style", "sentiment_expression",
         F.posexplode("variations").alias("v_pos", "v")).select("*", "v.*").drop("v")
     order = Window.partitionBy(*BATCH).orderBy("a_pos", "v_pos")
     texts = seeds.select(*BATCH, F.col("id").alias("seed_id"), F.col("text").alias("original_text"))
-    numbered = join_on(plans, valid.select(*BATCH), BATCH, "left_semi").withColumn(
+    numbered = plans.join(valid.select(*BATCH), BATCH, "left_semi").withColumn(
         "plan_id", (F.row_number().over(order) - 1).cast("int")).drop("a_pos", "v_pos")
-    return join_on(numbered, texts, GROUP, "left").withColumn("original_text", F.coalesce("original_text", F.lit("")))
+    return numbered.join(texts, GROUP, "left").withColumn("original_text", F.coalesce("original_text", F.lit("")))
 
 
 PLAN_FIELDS = ["strategy", "preserve", "domain", "style", "sentiment_expression"]
@@ -104,9 +104,9 @@ def first_sentences(responses: DataFrame, plans: DataFrame) -> DataFrame:
     """Sentences of valid batches; seed and plan fields come from the plan, sids count in response order."""
     parsed = parse(responses, SENTENCE_RESPONSE, "sentences").where(F.col("parsed").isNotNull())
     returned = parsed.select(*BATCH, F.posexplode("parsed").alias("pos", "s")).select(*BATCH, "pos", "s.plan_id", "s.text")
-    valid = check_bijection(join_on(plans, parsed.select(*BATCH), BATCH, "left_semi"), returned, BATCH, "plan_id").where("valid")
+    valid = check_bijection(plans.join(parsed.select(*BATCH), BATCH, "left_semi"), returned, BATCH, "plan_id").where("valid")
     fields = plans.select(*BATCH, "plan_id", "seed_id", *PLAN_FIELDS)
-    rows = join_on(join_on(returned, valid.select(*BATCH), BATCH, "left_semi"), fields, BATCH + ["plan_id"])
+    rows = returned.join(valid.select(*BATCH), BATCH, "left_semi").join(fields, BATCH + ["plan_id"])
     return rows.select(
         *BATCH, F.col("pos").cast("long").alias("sid"), "seed_id", "plan_id", *PLAN_FIELDS, "text",
         F.lit(0).alias("retry_count"), F.lit(None).cast("string").alias("prev_feedback"))
@@ -121,12 +121,19 @@ def zip_retry(responses: DataFrame, queue: DataFrame, last_sid: DataFrame) -> Da
     returned = parsed.select(*BATCH, F.posexplode("parsed").alias("pos", "s")).select(*BATCH, "pos", F.col("s.text").alias("new_text"))
     order = Window.partitionBy(*BATCH).orderBy("sid")
     placed = queue.withColumn("pos", F.row_number().over(order) - 1)
-    matched = join_on(join_on(placed, returned, BATCH + ["pos"]), last_sid, BATCH)
+    matched = placed.join(returned, BATCH + ["pos"]).join(last_sid, BATCH)
     return matched.select(
         *BATCH, (F.col("last") + 1 + F.col("pos")).cast("long").alias("sid"), "seed_id", "plan_id", *PLAN_FIELDS,
         F.col("new_text").alias("text"), (F.col("retry_count") + 1).alias("retry_count"), "prev_feedback")
 
 
+def answered_groups(indexed: DataFrame, responses: DataFrame, kind: str) -> DataFrame:
+    """Seed groups whose response parses and names every sentence once."""
+    schema = SENTIMENT_RESPONSE if kind == "sv" else LANGUAGE_RESPONSE
+    evals = parse(responses, schema, "evaluations").select(*GROUP, F.explode("parsed.idx").alias("idx"))
+    return check_bijection(indexed, evals, GROUP, "idx").where("valid").select(*GROUP)
+
+
 def apply_verdicts(indexed: DataFrame, responses: DataFrame, kind: str) -> DataFrame:
     """Verdict, explanation and feedback of each sentence; ``kind`` is sv or lv.
 
@@ -135,16 +142,16 @@ def apply_verdicts(indexed: DataFrame, responses: DataFrame, kind: str) -> DataF
     """
     sentiment = kind == "sv"
     schema = SENTIMENT_RESPONSE if sentiment else LANGUAGE_RESPONSE
-    parsed = parse(join_on(indexed.select(*GROUP).distinct(), responses, GROUP, "left"), schema, "evaluations")
+    parsed = parse(indexed.select(*GROUP).distinct().join(responses, GROUP, "left"), schema, "evaluations")
     evals = parsed.select(*GROUP, F.explode("parsed").alias("e")).select(*GROUP, "e.*")
     check = check_bijection(indexed, evals, GROUP, "idx")
-    state = join_on(parsed.select(*GROUP, F.col("parsed").isNotNull().alias("read")), check, GROUP)
-    one = join_on(evals, check.where("valid"), GROUP, "left_semi")
+    state = parsed.select(*GROUP, F.col("parsed").isNotNull().alias("read")).join(check, GROUP)
+    one = evals.join(check.where("valid"), GROUP, "left_semi")
     a, b = ("classifier_assessment", "semantic_analysis") if sentiment else ("naturalness", "issues")
     cot = F.format_string("Classifier: %s | Semantic: %s" if sentiment else "Naturalness: %s | Issues: %s",
                           F.coalesce(a, F.lit("None")), F.coalesce(b, F.lit("None")))
     one = one.select(*GROUP, "idx", F.upper("verdict").alias("_v"), cot.alias("_cot"), F.col("reason").alias("_why"))
-    rows = join_on(join_on(indexed, state, GROUP, "left"), one, GROUP + ["idx"], "left")
+    rows = indexed.join(state, GROUP, "left").join(one, GROUP + ["idx"], "left")
     feedback = (
         F.when(~F.col("read"), f"{kind}_parse_failure").when(~F.col("valid"), f"{kind}_bijection_failure")
         .when(F.col("_v") == "REJECT", F.col("_why"))
@@ -176,13 +183,13 @@ def route(sentences: DataFrame) -> DataFrame:
 def with_seed(sentences: DataFrame, seeds: DataFrame) -> DataFrame:
     """Sentences with the words of their seed, null when the seed is unknown."""
     side = seeds.select("lang", F.col("id").alias("seed_id"), word_count("text").alias("seed_words"))
-    return join_on(sentences, side, ["lang", "seed_id"], "left")
+    return sentences.join(side, ["lang", "seed_id"], "left")
 
 
 def with_plan(sentences: DataFrame, plans: DataFrame) -> DataFrame:
     """Sentences with the fields of their plan; the plan's seed wins over the response's."""
     fields = plans.select(*BATCH, "plan_id", "seed_id", *PLAN_FIELDS)
-    return join_on(sentences.drop("seed_id", *PLAN_FIELDS), fields, BATCH + ["plan_id"])
+    return sentences.drop("seed_id", *PLAN_FIELDS).join(fields, BATCH + ["plan_id"])
 
 
 def length_filter(routed: DataFrame, seeds: DataFrame, profile: DataFrame) -> DataFrame:
@@ -192,7 +199,7 @@ def length_filter(routed: DataFrame, seeds: DataFrame, profile: DataFrame) -> Da
     decimal, 14.0 when missing. Candidates become accept, retry or discard.
     """
     limits = profile.select("lang", "label", py_round("std", 1).alias("_std"))
-    rows = join_on(with_seed(routed, seeds), limits, ["lang", "label"], "left").withColumn(
+    rows = with_seed(routed, seeds).join(limits, ["lang", "label"], "left").withColumn(
         "gen_words", word_count("text"))
     limit = F.coalesce("_std", F.lit(DEFAULT_STD))
     drift = F.coalesce(F.abs(F.col("gen_words") - F.col("seed_words")) > limit, F.lit(False))
@@ -211,7 +218,7 @@ def length_filter(routed: DataFrame, seeds: DataFrame, profile: DataFrame) -> Da
 def batch_failures(seeds: DataFrame, outputs: DataFrame, per_seed: int = SENTENCES_PER_SEED) -> DataFrame:
     """A batch_failed log row for each batch that left no sentence at all."""
     batches = seeds.groupBy(*BATCH).agg(F.sort_array(F.collect_list("id")).alias("seed_ids"))
-    lost = join_on(batches, outputs.select(*BATCH).distinct(), BATCH, "left_anti")
+    lost = batches.join(outputs.select(*BATCH).distinct(), BATCH, "left_anti")
     return lost.select(
         F.lit("batch_failed").alias("outcome"), F.col("lang").alias("target_lang"), F.col("label").alias("target_label"),
         "batch_idx", "seed_ids", (F.size("seed_ids") * per_seed).alias("expected_sentences"))

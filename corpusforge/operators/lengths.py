@@ -29,6 +29,11 @@ def _quantiles(col: str, points: dict[str, float]) -> list[Column]:
     return [F.percentile(col, p).alias(n) for n, p in points.items()]
 
 
+def _whole(x: Column) -> Column:
+    """Whole part of an interpolated length, the rounding error of the interpolation aside."""
+    return F.floor(x + 1e-9).cast("int")
+
+
 def length_profile(corpus: DataFrame, by: list[str]) -> DataFrame:
     """Words per text: mean, sample std, quantiles cut to whole words, min and max."""
     cuts = {"p10": .10, "p25": .25, "p50": .50, "p75": .75, "p90": .90, "p95": .95}
@@ -36,7 +41,7 @@ def length_profile(corpus: DataFrame, by: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg("wc").alias("mean"), F.stddev_samp("wc").alias("std"),
         *_quantiles("wc", cuts), F.min("wc").alias("min"), F.max("wc").alias("max"),
     )
-    return stats.withColumns({c: F.col(c).cast("int") for c in cuts})
+    return stats.withColumns({c: _whole(F.col(c)) for c in cuts})
 
 
 def length_examples(corpus: DataFrame, by: list[str], key: str = "id") -> DataFrame:
@@ -88,8 +93,7 @@ def word_length_stats(corpus: DataFrame, by: list[str]) -> DataFrame:
     return with_words(corpus).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg("wc").alias("mean"), F.stddev_samp("wc").alias("std"),
         F.min("wc").alias("min"), F.max("wc").alias("max"),
-        F.percentile("wc", 0.5).cast("int").alias("median"),
-        F.percentile("wc", 0.95).cast("int").alias("p95"),
+        _whole(F.percentile("wc", 0.5)).alias("median"), _whole(F.percentile("wc", 0.95)).alias("p95"),
     )
 
 
@@ -133,7 +137,7 @@ def tail_gap(corpus: DataFrame, corpora: tuple[str, ...] = ("seed", "syn", "test
     for c in corpora:
         aggs += [
             F.stddev_samp(_when(c, wc)).alias(f"{c}_std"),
-            F.percentile(_when(c, wc), 0.95).cast("int").alias(f"{c}_p95"),
+            _whole(F.percentile(_when(c, wc), 0.95)).alias(f"{c}_p95"),
             (F.avg(_when(c, F.when(wc > 30, 1.0).otherwise(0.0))) * 100).alias(f"{c}_over30"),
         ]
     return with_words(corpus).groupBy("lang", "label").agg(*aggs)

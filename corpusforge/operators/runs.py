@@ -94,13 +94,17 @@ def median_run(results: DataFrame, metric: str = "val_f1") -> DataFrame:
 
 
 def maximin_run(results: DataFrame, base_seed: int, gate_lang: str, margin: float, metric: str = "val_f1") -> DataFrame:
-    """Run with the best worst-language score, and whether it beats the base run on one language by a margin."""
+    """Run with the best worst-language score, and whether it beats the base run on one language by a margin.
+
+    Scores equal to nine decimals tie; the first language and the lowest seed win.
+    """
     value = F.col(metric) * 100
+    tie = lambda c: F.round(c, 9)
     worst = results.groupBy("config", "seed").agg(
-        F.min(value).alias("worst"), F.min_by("lang", F.struct(value, F.col("lang"))).alias("worst_lang"),
+        F.min(value).alias("worst"), F.min_by("lang", F.when(value.isNotNull(), F.struct(tie(value), F.col("lang")))).alias("worst_lang"),
         F.max(F.when(F.col("lang") == gate_lang, value)).alias("gate_score"))
     win = worst.groupBy("config").agg(
-        F.max_by(F.struct("seed", "worst", "worst_lang", "gate_score"), F.struct(F.col("worst"), -F.col("seed"))).alias("w"),
+        F.max_by(F.struct("seed", "worst", "worst_lang", "gate_score"), F.struct(tie(F.col("worst")), -F.col("seed"))).alias("w"),
         F.max(F.when(F.col("seed") == base_seed, F.col("gate_score"))).alias("base_score"))
     return win.select("config", "w.*", "base_score").withColumn(
         "gate_pass", (F.col("seed") != base_seed) & (F.col("gate_score") >= F.col("base_score") + margin))
@@ -121,7 +125,7 @@ def leaderboard(results: DataFrame, baseline: str, targets: list[str], winners:
     joined = wide.join(base, F.lit(True), "left")  # one baseline row
     holds = F.lit(True)
     for l in targets:
-        holds = holds & F.coalesce(F.col(f"f1_{l}") >= F.col(f"_b_{l}"), F.lit(False))
+        holds = holds & F.coalesce(F.round(f"f1_{l}", 9) >= F.round(f"_b_{l}", 9), F.lit(False))
     return joined.select(
         "config", *[F.col(f"f1_{l}") for l in targets], *[(F.col(f"f1_{l}") - F.col(f"_b_{l}")).alias(f"delta_{l}") for l in targets],
         _mean_of([F.col(f"f1_{l}") for l in winners]).alias("winners_mean"), _mean_of([F.col(f"f1_{l}") for l in scope]).alias("scope_mean"),

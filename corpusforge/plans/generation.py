@@ -14,7 +14,7 @@ from ..operators.lengths import length_profile
 from ..operators.outcomes import split_pass
 from ..operators.sampling import union_all
 from ..operators.similarity import dedup_greedy
-from ..session import join_on, materialize
+from ..session import materialize
 from ..sources.logs import outcome_rows
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -45,9 +45,11 @@ def _twice(requests: DataFrame, model: Stage, valid: Callable[[DataFrame], DataF
     first = materialize(model(requests.withColumn("ask", F.lit(1))))
     good = materialize(valid(first).select(*keys).distinct())
     # an answer that never parsed is final: the model stage has used its own attempts on it
-    again = join_on(join_on(requests, good, keys, "left_anti"), first.where(F.col("response").isNotNull()), keys, "left_semi")
+    again = requests.join(good, keys, "left_anti").join(first.where(F.col("response").isNotNull()), keys, "left_semi")
+    if not again.take(1):
+        return first
     second = model(again.withColumn("ask", F.lit(2)))
-    kept = join_on(first, again, keys, "left_anti")
+    kept = first.join(again, keys, "left_anti")
     return materialize(kept.unionByName(second.select(*kept.columns)))
 
 
@@ -60,20 +62,16 @@ def validate(sentences: DataFrame, models: Models) -> DataFrame:
     """Sentiment verdicts for all sentences, language verdicts for those that pass."""
     scored = materialize(g.group_by_seed(models.sentiment(sentences)))
     ask_sv = g.verdict_requests(scored, "sentiment_label", "sentiment_conf")
-    sv = _twice(ask_sv, models.judge_sentiment, lambda r: _unfailed(g.apply_verdicts(scored, r, "sv"), "sv"))
+    sv = _twice(ask_sv, models.judge_sentiment, lambda r: g.answered_groups(scored, r, "sv"))
     judged = materialize(g.apply_verdicts(scored, sv, "sv").drop("idx"))
     ok, other = split_pass(judged, "sv_verdict")
     named = materialize(g.group_by_seed(models.language(ok)))
     ask_lv = g.verdict_requests(named, "lid_lang", "lid_conf")
-    lv = _twice(ask_lv, models.judge_language, lambda r: _unfailed(g.apply_verdicts(named, r, "lv"), "lv"))
+    lv = _twice(ask_lv, models.judge_language, lambda r: g.answered_groups(named, r, "lv"))
     done = g.apply_verdicts(named, lv, "lv").drop("idx")
     return materialize(union_all(done, other))
 
 
-def _unfailed(rows: DataFrame, kind: str) -> DataFrame:
-    return rows.where(F.col(f"{kind}_verdict") != "VALIDATION_FAILED")
-
-
 def run_rounds(seeds: DataFrame, models: Models, profile: DataFrame | None = None) -> dict[str, DataFrame]:
     """Accepted, discarded and retried sentences and failed batches of all batches of all languages.
 

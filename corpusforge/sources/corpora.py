@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..schemas import CORPUS
 
 SPLITS = ("train", "valid", "test")
+# a split may be one file or a folder of part files
+SPLIT_PATH = r"/([^/]+)/([^/]+)\.csv(?:/[^/]*)?$"
 
 
 def read_corpus(spark: SparkSession, root: str, splits: tuple[str, ...] = SPLITS) -> DataFrame:
@@ -18,8 +20,7 @@ def read_corpus(spark: SparkSession, root: str, splits: tuple[str, ...] = SPLITS
     )
     path = F.col("_metadata.file_path")
     return raw.select(
-        "*", F.regexp_extract(path, r"/([^/]+)/[^/]+\.csv$", 1).alias("lang"),
-        F.regexp_extract(path, r"/([^/]+)\.csv$", 1).alias("split"))
+        "*", F.regexp_extract(path, SPLIT_PATH, 1).alias("lang"), F.regexp_extract(path, SPLIT_PATH, 2).alias("split"))
 
 
 def read_tsv(spark: SparkSession, path: str, labels: list[str]) -> DataFrame:
@@ -57,5 +58,6 @@ def write_augmented(rows: DataFrame, path: str, tag: str) -> None:
 
 
 def write_split_csv(rows: DataFrame, path: str) -> None:
-    """Corpus rows as CSV files with header, one folder per language and split."""
-    rows.write.mode("overwrite").partitionBy("lang", "split").option("header", True).option("escape", '"').csv(path)
+    """(id, text, label) of one split as CSV with header; text is written untouched."""
+    rows.select("id", "text", "label").write.mode("overwrite").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)

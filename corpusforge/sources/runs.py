@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..schemas import HISTORY_RECORD, PREDICTION, RESULTS
 
-RUN_PATH = r"/([^/]+)/(?:seed_)?(-?\d+)/[^/]*$"
+RUN_PATH = r"/(?:\w+=)?([^/]+)/(?:seed[_=])?(-?\d+)/[^/]*$"
 
 
 def read_results(spark: SparkSession, globs: list[str], config_level: str = RUN_PATH) -> DataFrame:
@@ -16,14 +16,15 @@ def read_results(spark: SparkSession, globs: list[str], config_level: str = RUN_
 
     Missing runs are no error. Keys such as ``arm_mode/lang`` give an ``arm`` and the language.
     """
-    raw = (
-        spark.read.schema(RESULTS).option("multiLine", True).option("ignoreMissingFiles", True)
-        .option("pathGlobFilter", "*.json").json(_existing(spark, globs))
-    ) if _existing(spark, globs) else spark.createDataFrame([], RESULTS).withColumn("_p", F.lit(""))
-    path = F.col("_metadata.file_path") if "_p" not in raw.columns else F.col("_p")
+    found = _existing(spark, globs)
+    if found:
+        raw = spark.read.schema(RESULTS).option("multiLine", True).option("ignoreMissingFiles", True).json(found)
+        path = F.col("_metadata.file_path")
+    else:
+        raw, path = spark.createDataFrame([], RESULTS), F.lit("")
     rows = raw.select(
         F.regexp_extract(path, config_level, 1).alias("config"),
-        F.try_to_number(F.regexp_extract(path, config_level, 2), F.lit("999999999")).cast("int").alias("seed"),
+        F.regexp_extract(path, config_level, 2).try_cast("int").alias("seed"),
         F.explode("results").alias("key", "r"))
     parts = F.split("key", "/")
     return rows.select(
