@@ -255,7 +255,7 @@ def _one_seed(spark, d):
 
 @query("compare_arms", sql("res", """SELECT * FROM (WITH r AS (SELECT lang, CAST(printf('%.2f', 100 * max(test_f1) FILTER (config = 'base')) AS DOUBLE) AS baseline,
   CAST(printf('%.2f', 100 * max(test_f1) FILTER (config = 'aug')) AS DOUBLE) AS augmented, CAST(printf('%.2f', 100 * (max(test_f1) FILTER (config = 'aug') - max(test_f1) FILTER (config = 'base'))) AS DOUBLE) AS delta
-  FROM res WHERE seed = 42 GROUP BY ALL) SELECT * FROM r UNION ALL SELECT 'MEAN', CAST(printf('%.2f', avg(baseline)) AS DOUBLE), CAST(printf('%.2f', avg(augmented)) AS DOUBLE), CAST(printf('%.2f', avg(delta)) AS DOUBLE) FROM r)""", "baseline augmented delta"))
+  FROM res WHERE seed = 42 GROUP BY ALL) SELECT * FROM r UNION ALL SELECT 'MEAN', CAST(printf('%.2f', round(avg(baseline), 9)) AS DOUBLE), CAST(printf('%.2f', round(avg(augmented), 9)) AS DOUBLE), CAST(printf('%.2f', round(avg(delta), 9)) AS DOUBLE) FROM r)""", "baseline augmented delta"))
 def compare_arms(spark, d):
     return R.compare_arms(_one_seed(spark, d), "base", "aug")
 

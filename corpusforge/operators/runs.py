@@ -33,7 +33,8 @@ def compare_arms(results: DataFrame, base: str, aug: str) -> DataFrame:
     wide = results.groupBy("lang").agg(pick(base).alias("b"), pick(aug).alias("a")).where("a IS NOT NULL AND b IS NOT NULL")
     rows = wide.select("lang", py_round(F.col("b") * 100, 2).alias("baseline"), py_round(F.col("a") * 100, 2).alias("augmented"),
                        py_round((F.col("a") - F.col("b")) * 100, 2).alias("delta"))
-    mean = rows.agg(*[py_round(F.avg(c), 2).alias(c) for c in ("baseline", "augmented", "delta")])
+    # two-decimal values: nine decimals free the mean of summation noise before it is rounded
+    mean = rows.agg(*[py_round(F.round(F.avg(c), 9), 2).alias(c) for c in ("baseline", "augmented", "delta")])
     return rows.unionByName(mean.select(F.lit("MEAN").alias("lang"), "baseline", "augmented", "delta").where("delta IS NOT NULL"))
 
 
