@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from corpusforge.session import ship  # noqa: E402
+
 
 def session() -> SparkSession:
     spark = (
@@ -17,6 +19,7 @@ def session() -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
