@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import decontam, langid, secret_scan
+from . import decontam, jaccard, langid, secret_scan, sentpiece
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document: 3-word shingles, similarity 0.9 or more."""
+    return jaccard.cluster(read(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op6_sentencepiece_dropout")
+def op6_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document as ids with merge-dropout 0.1; digests of the ids and of the text that they decode to."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    got = sentpiece.encode_table(docs, sentpiece.model_path(), dropout=0.1, seed=17, variants=2)
+    return got.select("doc_id", "n_tokens", "ids_crc32", "decoded_sha256", sentpiece.same_text(got).alias("lossless"))
