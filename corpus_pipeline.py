@@ -1,9 +1,82 @@
-"""Corpus preparation: each stage works on all that its predecessor kept."""
+"""Corpus preparation in five stages; each works on all that its predecessor kept, written as Parquet and reread.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusforge.llm import decontam, jaccard, langid, secret_scan, sentpiece
+from corpusforge.llm.tables import materialize, null_join, read
+from corpusforge.session import ship
+
+#: Documents whose language is less probable than this are rejected.
+MIN_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those of no clear language, go. Trained on the documents outside the held-out fold."""
+    ship(spark)
+    model = langid.train(docs.where(~langid.held_out()).select("text", "lang"))
+    named = langid.predict(docs, model, lang_pred="_lang", score_col="_score")
+    return named.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
+
+
+def _by_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Documents with (left_semi) or without (left_anti) a row of the same id and text."""
+    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    right = rows.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text_key"))
+    return keyed.join(right, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text_key")), how)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays (five-word shingles, similarity 0.8): the one with the smallest id."""
+    ship(spark)
+    kept = jaccard.cluster(docs, k=5, percent=80).where("keep")
+    once = _by_text(docs, kept, "left_semi")
+    return once.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a word in a ten-word window of a benchmark item go."""
+    ship(spark)
+    leaks = decontam.decontaminate(docs, read(spark, sf_dir, "benchmark")).where("n_hit > 0")
+    return _by_text(docs, leaks, "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    ship(spark)
+    found = secret_scan.scan(docs, secret_scan.fit(secret_scan.samples(docs)), spans="_spans")
+    safe = found.withColumn("text", secret_scan.redact(F.col("text"), F.col("_spans")))
+    return safe.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document with seeded merge-dropout, and the digest of what they decode to."""
+    ship(spark)
+    got = sentpiece.encode_table(docs.select("doc_id", "lang", "source", "text"), sentpiece.model_path(), dropout=0.1, seed=17, variants=2)
+    return got.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_crc32", "decoded_sha256", sentpiece.same_text(got).alias("lossless"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("secrets", redact_secrets),
+    ("encode", encode_pieces),
+]
+
+#: The classifier and the encoder are beyond SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    raise NotImplementedError
+    ship(spark)
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
