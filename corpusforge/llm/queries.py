@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-from . import decontam, jaccard, langid, secret_scan, sentpiece
+from ..session import scratch_path, ship
+from . import decontam, huffman, jaccard, langid, secret_scan, sentpiece
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,13 @@ def op6_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     got = sentpiece.encode_table(docs, sentpiece.model_path(), dropout=0.1, seed=17, variants=2)
     return got.select("doc_id", "n_tokens", "ids_crc32", "decoded_sha256", sentpiece.same_text(got).alias("lossless"))
+
+
+@query("op7_huffman_ids")
+def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as a Huffman archive in doc_id order and read back."""
+    import public_tokenizers
+
+    folder = scratch_path(spark, "huffman")
+    huffman.write_documents(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return huffman.read_archive(spark, folder).select(F.col("doc").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
