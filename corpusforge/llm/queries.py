@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship
-from . import decontam, huffman, jaccard, langid, secret_scan, sentpiece
+from . import decontam, huffman, jaccard, langid, secret_scan, sentpiece, warc
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,17 @@ def op7_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "huffman")
     huffman.write_documents(read(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return huffman.read_archive(spark, folder).select(F.col("doc").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
+
+
+@query("op1_warc_assembly", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+     d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+     m AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS best FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> best THEN best END AS refers_to FROM m""")
+def op1_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, read back and assembled per capture."""
+    folder = scratch_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), folder)
+    return warc.page_captures(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
