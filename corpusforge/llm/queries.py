@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship
-from . import decontam, huffman, jaccard, langid, secret_scan, sentpiece, warc
+from . import decontam, huffman, jaccard, langid, maxscore, secret_scan, sentpiece, warc
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,16 @@ def op1_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     warc.write(read(spark, sf_dir, "pages"), folder)
     return warc.page_captures(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_maxscore_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+       FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
+     r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10""")
+def op5_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best rows by integer inner product for every row whose id is divisible by 100."""
+    rows = read(spark, sf_dir, "embeddings")
+    return maxscore.search(rows, rows.where("vec_id % 100 = 0"), k=10)
