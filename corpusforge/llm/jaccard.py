@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from . import nptext
 from .components import components
-from .tables import materialize, null_join
+from .tables import bit_filter, in_filter, materialize, null_join
 
 #: Buckets of the frequency sketch; a fixed size for every input.
 SKETCH = 1 << 20
 #: A shingle enters the sketch if it stands in so many documents of one flush of a task.
 REPEATED = 4
 _FLUSH = 1 << 22
-#: Longest prefix extension: so many shared prefix shingles may be asked for.
-MATCHES = 4
+#: Shared prefix shingles that are asked for at least (fewer for small sets) and at most.
+MATCHES = 5
+MOST_MATCHES = 9
 #: Rounds in which each posting list is compared with one of its members only.
 ROUNDS = 3
 
@@ -90,10 +91,11 @@ def prefix(freq: np.ndarray, percent: int) -> tuple[int, int]:
     n = freq.size
     t = -(-percent * n // 100)
     sums = np.cumsum(np.maximum(freq, 1))
-    best, least = 1, sums[n - t]
-    for matches in range(2, min(MATCHES, t) + 1):
+    best = min(MATCHES, t)
+    least = sums[n - t + best - 1] / best
+    for matches in range(best + 1, min(MOST_MATCHES, t) + 1):
         cost = sums[n - t + matches - 1] / matches
-        if cost >= 0.8 * least:
+        if cost >= 0.95 * least:
             break
         best, least = matches, cost
     return n - t + best, best
@@ -128,17 +130,25 @@ def signatures(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> Dat
     return docs.mapInArrow(sign, "doc long, t long, n long, s1 long, s2 long, l int, prefix array<bigint>")
 
 
-def _full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``row`` and its whole set as sorted 64-bit shingles."""
+def _full_sets(rows: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """``row`` and its whole set for the rows of ``keys`` (row, doc, t).
+
+    A bitmap of fixed size keeps most other documents from being cut into shingles and shuffled; the join is exact.
+    """
+    mark = F.xxhash64("doc", "t")
+    shared = rows.sparkSession.sparkContext.broadcast(bit_filter(keys.select(mark.alias("h")).distinct(), "h", 1 << 23))
 
     def make(batches):
         for batch in batches:
-            for i, j, d, g in _sets(batch.column(1), k):
+            may = in_filter(shared.value, batch.column(3).to_numpy().view(np.uint64))
+            batch = batch.filter(pa.array(may))
+            for i, j, d, g in _sets(batch.column(2), k):
                 first = np.searchsorted(d, np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(first), pa.array(nptext.signed(g)))],
-                                                 names=["row", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i),
+                                                  pa.ListArray.from_arrays(pa.array(first), pa.array(nptext.signed(g)))], names=["doc", "t", "tokens"])
 
-    return docs.mapInArrow(make, "row long, tokens array<bigint>")
+    made = rows.select("doc", "t", "text", mark.alias("h")).mapInArrow(make, "doc long, t long, tokens array<bigint>")
+    return null_join(keys, made, ["doc", "t"]).select("row", "tokens").dropDuplicates(["row"])
 
 
 def _fits(a: str, b: str, percent: int) -> str:
@@ -146,8 +156,10 @@ def _fits(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, rows: DataFrame, keys: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose whole sets reach the similarity."""
+    some = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = materialize(_full_sets(rows, materialize(keys.join(some, "row", "left_semi")), k))
     left = sets.select(F.col("row").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("row").alias("b"), F.col("tokens").alias("y"))
     return (pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
@@ -167,7 +179,8 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     with a null id take part and get the smallest id of their component (null if it has none). Rows are documents of their
     own, also if an id is repeated.
 
-    1. Equal sets become one class. 2. Postings of the adaptive prefixes; lists of one class go. 3. Rounds: every list
+    1. Equal sets become one class. 2. Postings of the adaptive prefixes; lists of one class go, and classes with fewer
+    shared shingles than any partner asks for. 3. Rounds: every list
     is compared with one member, and lists within one component go, so dense groups of near copies need a few comparisons
     per member. 4. All pairs of different components that are left and share the asked number of prefix shingles are compared.
     """
@@ -176,14 +189,18 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     signed = materialize(signatures(rows, frequency_sketch(rows, k), k, percent).withColumn("row", F.monotonically_increasing_id()))
     classes = materialize(signed.where("n > 0").groupBy("s1", "s2", "n")
                           .agg(F.min("row").alias("rep"), F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "t", "row")).alias("least")))
+    keys = signed.select("row", "doc", "t")
     first = signed.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
-    posts = first.select("row", "n", "l", F.explode("prefix").alias("token"))
-    shared = posts.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token")
-    posts = materialize(posts.join(shared, "token"))
-
+    need = F.expr(f"least({MATCHES}, ceil({percent} * ceil({percent} * n / 100) / 100))")  # what the smallest partner may ask for
+    asks = materialize(first.select("row", "n", "l", need.alias("need")))
+    posts = first.select("row", F.explode("prefix").alias("token"))
+    for _ in range(2):  # a row needs enough shingles that other rows have too
+        held = posts.join(posts.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token"), "token")
+        held = materialize(held)
+        able = held.groupBy("row").agg(F.count("*").alias("held")).join(asks, "row").where("held >= need").select("row")
+        posts = materialize(held.join(able, "row", "left_semi"))
+    posts = materialize(posts.join(asks.drop("need"), "row"))
     some = posts.select("row").distinct()
-    keys = signed.select("row", "doc", "t").join(some, "row", "left_semi")
-    sets = materialize(_full_sets(null_join(keys, rows, ["doc", "t"]).select("row", "text").dropDuplicates(["row"]), k))
 
     links = spark.createDataFrame([], "a long, b long")
     done = links
@@ -194,11 +211,12 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
                                          F.min_by(F.struct("row", "n", "comp"), F.xxhash64("row", F.lit(r))).alias("lead"))
                 .where("low <> high").select("token", "lead"))
         pairs = (now.join(lead, "token").where("comp <> lead.comp").where(_fits("n", "lead.n", percent))
-                 .select(*_pair("row", "lead.row")).distinct().join(done, ["a", "b"], "left_anti"))
+                 .groupBy(*_pair("row", "lead.row")).agg(F.count("*").alias("hits")).where("hits > 1").select("a", "b")
+                 .join(done, ["a", "b"], "left_anti"))
         pairs = materialize(pairs)
         if pairs.isEmpty():
             break
-        fresh = materialize(_verify(pairs, sets, percent))
+        fresh = materialize(_verify(pairs, rows, keys, k, percent))
         links, done = links.unionByName(fresh), done.unionByName(pairs)
         comp = components(links)
         state = materialize(some.join(comp.withColumnRenamed("node", "row"), "row", "left")
@@ -213,7 +231,8 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
              .where(_fits("n", "n2", percent)).groupBy(*_pair("row", "row2"))
              .agg(F.count("*").alias("hits"), F.min(F.least("l", "l2")).alias("asked")).where("hits >= asked").select("a", "b")
              .join(done, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verify(pairs, sets, percent))
+    pairs = materialize(pairs)
+    links = links.unionByName(_verify(pairs, rows, keys, k, percent))
 
     comp = materialize(components(links))
     own = materialize(classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", "n", "least", F.coalesce("component", "rep").alias("comp")))
