@@ -139,25 +139,30 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n - w + 1], left[w - 1:n])
 
 
-#: Low bits of an anchor key that hold the position, so that the leftmost of equal values wins.
-_AT = 22
+#: Low bits of an anchor key that hold the position, so that the leftmost of equal values wins; and windows per step.
+_AT, _MANY = 22, 1 << 21
 
 
-def anchors(values: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(values: np.ndarray, w: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Winnowing: each window of ``w`` values picks its smallest value (leftmost of ties).
 
-    Returns, per run of windows with one pick: its position, the first window and the last window. What a window picks
-    depends on its own values only. At most 2**22 values.
+    ``valid`` says which windows (by first value) count. Returns, per run of valid windows with one pick: its position, the first
+    window and the last window. What a window picks depends on its own values only; runs are cut every ``_MANY`` windows.
     """
-    if values.size >= 1 << _AT:
-        raise ValueError("too many values for one call")
-    key = (values >> U(_AT) << U(_AT)) | np.arange(values.size, dtype=np.uint64)
-    pick = (sliding_min(key, w) & U((1 << _AT) - 1)).astype(np.int64)
-    if not pick.size:
-        return pick, pick, pick
-    lo = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]]))
-    hi = np.concatenate([lo[1:], [pick.size]]) - 1
-    return pick[lo], lo, hi
+    out = []
+    for base in range(0, valid.size, _MANY):
+        part = values[base:min(base + _MANY, valid.size) + w - 1]
+        key = (part >> U(_AT) << U(_AT)) | np.arange(part.size, dtype=np.uint64)
+        pick = (sliding_min(key, w) & U((1 << _AT) - 1)).astype(np.int64) + base
+        pick[~valid[base:base + pick.size]] = -1
+        new = np.flatnonzero(np.concatenate([[True], pick[1:] != pick[:-1]])) if pick.size else pick
+        last = np.concatenate([new[1:], [pick.size]]) - 1 if pick.size else pick
+        ok = pick[new] >= 0
+        out.append((pick[new][ok], new[ok] + base, last[ok] + base))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship
-from . import decontam, huffman, jaccard, langid, maxscore, secret_scan, sentpiece, warc
+from . import decontam, huffman, jaccard, langid, maxscore, secret_scan, sentpiece, suffix_array, suffix_tree, warc
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,15 @@ def op5_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best rows by integer inner product for every row whose id is divisible by 100."""
     rows = read(spark, sf_dir, "embeddings")
     return maxscore.search(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+@query("op8_suffix_tree_dedup")
+def op8_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document outside windows of 13 words that an earlier document has."""
+    return suffix_tree.remove_repeats(read(spark, sf_dir, "documents"), size=13)
+
+
+@query("op10_suffix_array_dedup")
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document outside strings of 200 bytes that stand anywhere else."""
+    return suffix_array.remove_repeats(read(spark, sf_dir, "documents"), size=200)
