@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLANK = "▁"
+_NEVER = 1 << 30
 #: Words remembered per worker and key; when full, the memory starts anew.
 CACHE = 250_000
 
@@ -29,9 +30,12 @@ class Vocabulary:
     rank: dict[str, int]
     byte_ids: list[int]
     pieces: list[bytes | None]
-    joints: set[str] = field(repr=False)
     words_split: bool
     split: re.Pattern
+    symbol: np.ndarray = field(repr=False)  # symbol of each code point; the last one: none
+    joins: np.ndarray = field(repr=False)  # left symbol * 2**32 + right symbol, ascending
+    joined: np.ndarray = field(repr=False)  # what they become
+    ranks: np.ndarray = field(repr=False)  # rank of that
     known: dict = field(default_factory=dict, repr=False)
 
 
@@ -55,15 +59,32 @@ def load(path: str) -> Vocabulary:
     order = sorted(scores, key=lambda p: -scores[p])
     joints = {p[i:i + 2] for p in ids for i in range(len(p) - 1)}
     words_split = not any(b == BLANK != a for a, b in joints)
-    alone = "".join(re.escape(c) for c in map(chr, range(128)) if not any(c in j for j in joints))
-    split = re.compile(f"[{alone}]|{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" if alone else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-    return Vocabulary(ids, {p: r for r, p in enumerate(order)}, byte_ids, pieces, joints, words_split, split)
+    alone = [c for c in map(chr, range(128)) if not any(c in j for j in joints)]  # in no piece with others
+    after_letter = {b for a, b in joints if a.isalpha()}
+    marks = [c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after_letter and c not in alone]  # a cut before, after letters
+    others = "".join({re.escape(a) for a, b in joints if re.fullmatch(r"[^\W\d_]", a) and not a.isalpha()})
+    alone_, marks_ = ("".join(map(re.escape, x)) or BLANK for x in (alone, marks))
+    split = re.compile(f"[{alone_}]|{BLANK}*[^{BLANK}{alone_}](?:[^{BLANK}{alone_}{marks_}]+|(?<![^\\W\\d_{others}])[{marks_}])*|{BLANK}+")
+    rank = {p: r for r, p in enumerate(order)}
+    number = dict(ids)
+    for c in {c for p in ids for c in p}:
+        number.setdefault(c, len(pieces) + len(number))
+    symbol = np.full(0x110001, max(number.values(), default=0) + 1, np.int64)
+    for c, i in number.items():
+        if len(c) == 1:
+            symbol[ord(c)] = i
+    symbol[[ord(c) for c in number if len(c) == 1 and c not in ids]] = symbol[-1]  # without an own piece: by bytes
+    pairs = sorted((number[p[:i]] << 32 | number[p[i:]], ids[p], rank[p]) for p in ids for i in range(1, len(p)) if p[:i] in number and p[i:] in number)
+    joins, joined, ranks = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ([0], [0], [_NEVER])))
+    return Vocabulary(ids, rank, byte_ids, pieces, words_split, split, symbol, joins, joined, ranks)
 
 
 #: Multipliers of the keyed hash, by place in the unit.
 _MULT = [int(x) | 1 for x in np.random.default_rng(7).integers(1, 1 << 62, 1 << 12)]
 _MASK = (1 << 64) - 1
-_NEVER = 1 << 30
+_MULTS = np.array(_MULT, np.uint64)
+#: Longest unit that is merged side by side with others.
+SHORT = 32
 
 
 def _merge(unit: str, v: Vocabulary, limit: int, key: int) -> list[int]:
@@ -76,7 +97,7 @@ def _merge(unit: str, v: Vocabulary, limit: int, key: int) -> list[int]:
     def skipped(i: int, stop: int) -> bool:
         return ((seed * (_MULT[i & 4095] + _MULT[stop & 4095 ^ 2048]) & _MASK) >> 32) < limit
 
-    if n <= 32:  # a short agenda is a plain list with one place per border
+    if n <= SHORT:  # a short agenda is a plain list with one place per border
         ends = list(range(1, n + 1))
         agenda = [rank.get(unit[i:i + 2], _NEVER) for i in range(n - 1)]
         if limit:
@@ -142,22 +163,79 @@ def _long(unit: str, rank: dict[str, int], limit: int, skipped) -> list[int]:
     return out
 
 
+def _merge_many(units: list[str], v: Vocabulary, limit: int, key: int) -> list[list[int]]:
+    """``_merge`` of many units, side by side: each step takes the best candidate of every unit's agenda."""
+    out: list[list[int]] = [[]] * len(units)
+    size = np.array([len(u) for u in units])
+    order = np.argsort(size, kind="stable")
+    order = order[:np.searchsorted(size[order], SHORT, side="right")]
+    for i in np.flatnonzero(size > SHORT):
+        out[i] = _merge(units[i], v, limit, key)
+    for part in np.array_split(order, max(1, order.size // 1500)):
+        if part.size:
+            _merge_part(part, units, size, v, limit, key, out)
+    return out
+
+
+def _merge_part(part: np.ndarray, units: list[str], size: np.ndarray, v: Vocabulary, limit: int, key: int, out: list[list[int]]) -> None:
+    n, width = part.size, int(size[part].max()) + 1
+    own = size[part]
+    code = np.frombuffer("".join([units[i] for i in part]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    grid = np.full((n, width), v.symbol[-1], np.int64)
+    column = np.arange(width)
+    grid[column < own[:, None]] = v.symbol[code]
+    seed = np.array([xxhash.xxh64_intdigest(units[i].encode("utf-8", "surrogatepass"), key) | 1 for i in part], np.uint64) if limit else None
+    after = np.minimum(column + 1, own[:, None])  # the next symbol's place; the unit's size at its end
+    before = np.tile(column - 1, (n, 1))
+    rank = np.full((n, width), _NEVER, np.int64)
+    become = np.zeros((n, width), np.int64)
+
+    def look(row, at):
+        """Candidate of the symbol at a place and the next one."""
+        right = after[row, at]
+        pair = grid[row, at] << 32 | grid[row, right]
+        slot = np.minimum(np.searchsorted(v.joins, pair), v.joins.size - 1)
+        good = (v.joins[slot] == pair) & (right < own[row])
+        if limit:
+            stop = after[row, np.minimum(right, width - 1)]
+            good &= (seed[row] * (_MULTS[at] + _MULTS[stop ^ 2048]) >> np.uint64(32)) >= np.uint64(limit)
+        rank[row, at] = np.where(good, v.ranks[slot], _NEVER)
+        become[row, at] = v.joined[slot]
+
+    row, at = np.nonzero(column < own[:, None] - 1)
+    look(row, at)
+    alive = column < own[:, None]
+    live = np.arange(n)
+    while live.size:
+        best = rank[live].argmin(axis=1)
+        some = rank[live, best] < _NEVER
+        live, best = live[some], best[some]
+        if not live.size:
+            break
+        gone = after[live, best]
+        grid[live, best] = become[live, best]
+        alive[live, gone] = False
+        rank[live, gone] = _NEVER
+        then = after[live, gone]
+        after[live, best] = then
+        before[live, then] = best
+        look(live, best)
+        prior = before[live, best]
+        has = prior >= 0
+        look(live[has], prior[has])
+    flat = grid[alive]
+    stop = np.cumsum(alive.sum(axis=1))
+    plain = ~((grid == v.symbol[-1]) & alive).any(axis=1)
+    ids = flat.tolist()
+    for k, (i, e) in enumerate(zip(part.tolist(), stop.tolist())):
+        out[i] = ids[stop[k - 1] if k else 0:e] if plain[k] else _merge(units[i], v, limit, key)
+
+
 def _raw(piece: str) -> bytes:
     """Bytes of characters that have no piece; BLANK stands for a blank."""
     return piece.replace(BLANK, " ").encode("utf-8", "surrogatepass")
 
 
-def _units(word: str, joints: set[str]) -> list[str]:
-    """A word cut where no piece has the two neighbouring characters together, since no merge crosses there."""
-    out, a = [], 0
-    for b in range(1, len(word)):
-        if word[b - 1:b + 1] not in joints:
-            out.append(word[a:b])
-            a = b
-    out.append(word[a:])
-    return out
-
-
 class _Known(dict):
     """Ids of the strings seen so far under one key, made by ``make`` at first sight."""
 
@@ -167,11 +245,21 @@ class _Known(dict):
     def __missing__(self, word: str) -> list[int]:
         got = self.make(word)
         if len(word) < 64:
-            if len(self) >= CACHE:
-                self.clear()
+            self.trim()
             self[word] = got
         return got
 
+    def trim(self) -> None:
+        if len(self) >= CACHE:
+            self.clear()
+
+
+def _known(v: Vocabulary, limit: int, seed: int) -> _Known:
+    known = v.known.get((limit, seed))
+    if known is None:
+        known = v.known[limit, seed] = _Known(lambda w: _merge(w, v, limit, seed))
+    return known
+
 
 def encode(text: str, v: Vocabulary, dropout: float = 0.0, seed: int = 0, dummy_prefix: bool = False) -> list[int]:
     """Ids of a text. Blanks become U+2581; a literal U+2581, and characters without a piece, become byte pieces.
@@ -188,14 +276,24 @@ def encode(text: str, v: Vocabulary, dropout: float = 0.0, seed: int = 0, dummy_
         return []
     limit = int(dropout * (1 << 32))
     text = (BLANK if dummy_prefix else "") + text.replace(" ", BLANK)
-    known = v.known.get((limit, seed))
-    if known is None:
-        unit = _Known(lambda u: _merge(u, v, limit, seed))
-        known = v.known[limit, seed] = _Known(lambda w: [i for u in _units(w, v.joints) for i in unit[u]])
+    known = _known(v, limit, seed)
     words = v.split.findall(text) if v.words_split else [text]
     return list(chain.from_iterable(map(known.__getitem__, words)))
 
 
+def encode_many(texts: list[str], v: Vocabulary, dropout: float = 0.0, seed: int = 0) -> list[list[int]]:
+    """``encode`` of many texts; words that are new are merged side by side."""
+    if not v.words_split or any(BLANK in t for t in texts):
+        return [encode(t, v, dropout, seed) for t in texts]
+    limit = int(dropout * (1 << 32))
+    known = _known(v, limit, seed)
+    known.trim()
+    cut = [v.split.findall(t.replace(" ", BLANK)) for t in texts]
+    new = [w for w in set(chain.from_iterable(cut)) if w not in known and len(w) < 64]
+    known.update(zip(new, _merge_many(new, v, limit, seed)))
+    return [list(chain.from_iterable(map(known.__getitem__, words))) for words in cut]
+
+
 def decode(ids, v: Vocabulary) -> str:
     """The text of ids: pieces joined, byte pieces as bytes. Ids without text (control pieces) are an error."""
     return b"".join([v.pieces[i] for i in ids]).decode("utf-8", "surrogatepass")
@@ -212,7 +310,7 @@ def encode_table(df: DataFrame, model: str, dropout: float = 0.1, seed: int = 0,
     """
     added = ["ids", "n_tokens", "ids_crc32", "decoded_sha256"]
     df = df.drop(*added)
-    at, key = df.columns.index(text), df.columns.index(doc_id)
+    column, key = df.columns.index(text), df.columns.index(doc_id)
     with open(model, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
@@ -221,20 +319,23 @@ def encode_table(df: DataFrame, model: str, dropout: float = 0.1, seed: int = 0,
 
         v = load_bytes(shared.value)
         for batch in batches:
-            keys, texts = batch.column(key).to_pylist(), batch.column(at).to_pylist()
+            keys, texts = batch.column(key).to_pylist(), batch.column(column).to_pylist()
             for i in range(0, len(texts), 1000):
-                ids, crc, sha = [], [], []
-                for k, t in zip(keys[i:i + 1000], texts[i:i + 1000]):
-                    own = (seed * 1_000_003 + xxhash.xxh32_intdigest(str(k), seed & 0xFFFFFFFF) % variants) & 0xFFFFFFFFFFFF
-                    got = np.array(encode(t or "", v, dropout, own), np.int32)
-                    ids.append(got)
+                part = [t or "" for t in texts[i:i + 1000]]
+                own = [(seed * 1_000_003 + xxhash.xxh32_intdigest(str(k), seed & 0xFFFFFFFF) % variants) & 0xFFFFFFFFFFFF for k in keys[i:i + 1000]]
+                ids, crc, sha = [np.zeros(0, np.int32)] * len(part), [], []
+                for one in set(own):
+                    at = [j for j, o in enumerate(own) if o == one]
+                    for j, got in zip(at, encode_many([part[j] for j in at], v, dropout, one)):
+                        ids[j] = np.array(got, np.int32)
+                for got in ids:
                     crc.append(zlib.crc32(got.astype("<u4").tobytes()))
                     sha.append(hashlib.sha256(decode(got.tolist(), v).encode("utf-8", "surrogatepass")).hexdigest() if check else None)
                 n = np.array([x.size for x in ids], np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)),
                                                  pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                part = batch.slice(i, len(n))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(n.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(sha, pa.string())],
+                rows = batch.slice(i, len(n))
+                yield pa.RecordBatch.from_arrays([*rows.columns, lists, pa.array(n.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(sha, pa.string())],
                                                  names=[*batch.schema.names, *added])
 
     more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()),

@@ -10,7 +10,7 @@ from corpusforge.llm.queries import QUERIES
 
 from .test_filters import SF, docs_of
 
-TEXTS = ["", " a  b\nc\td é ", "日本語 テキスト 😀 ▁ ▁▁x▁", "▁", "a" * 300 + " " * 70, "<s> </s> <0x41>", "x\x00y​", "Zeile\r\nZwei  "]
+TEXTS = ["", " a  b\nc\td é ", "日本語 テキスト 😀 ▁ ▁▁x▁", "▁", "a" * 300 + " " * 70, "<s> </s> <0x41>", "x\x00y​", "Zeile\r\nZwei  ", "5 m². ½, x²., don't (a.b) »c», e.g. !?"]
 
 
 def test_no_dropout_is_plain_bpe(spark):
@@ -32,6 +32,15 @@ def test_short_and_long_agenda_agree():
                 assert sentpiece.decode(sentpiece._merge(part, v, limit, key), v) == part.replace("▁", " ")
 
 
+def test_side_by_side_is_the_same(spark):
+    v = sentpiece.load(sentpiece.model_path())
+    texts = [t for _, t in docs_of(spark)][:40] + [t for t in TEXTS if "▁" not in t]
+    units = list({u for t in texts for u in v.split.findall(t.replace(" ", "▁"))}) + ["日本語", "é" * 33, "x😀y", "q" * 32]
+    for limit in (0, 1 << 29, 1 << 31, 1 << 32):
+        assert sentpiece._merge_many(units, v, limit, 5) == [sentpiece._merge(u, v, limit, 5) for u in units]
+    assert sentpiece.encode_many(texts, v, 0.2, 9) == [sentpiece.encode(t, v, 0.2, 9) for t in texts]
+
+
 def test_round_trip_and_seeds(spark):
     v = sentpiece.load(sentpiece.model_path())
     texts = [t for _, t in docs_of(spark)][:60] + TEXTS
