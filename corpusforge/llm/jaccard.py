@@ -20,7 +20,7 @@ _FLUSH = 1 << 22
 MATCHES = 5
 MOST_MATCHES = 9
 #: Rounds in which each posting list is compared with one of its members only.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def _sets(column: pa.Array, k: int):
@@ -151,9 +151,16 @@ def _full_sets(rows: DataFrame, keys: DataFrame, k: int) -> DataFrame:
     return null_join(keys, made, ["doc", "t"]).select("row", "tokens").dropDuplicates(["row"])
 
 
-def _fits(a: str, b: str, percent: int) -> str:
-    """Sizes that allow the similarity."""
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+def _may(x: str, y: str, percent: int) -> str:
+    """Whether a shared prefix shingle can be one of the first ``l`` that two similar sets share.
+
+    ``x`` and ``y`` name a row each with size n, asked matches l and position pos. With sizes that allow the similarity, the sets share at least ``o``
+    shingles, so the first l of them stand among the first n - o + l of either set.
+    """
+    o = f"({percent} * ({x}n + {y}n) + {100 + percent - 1}) div {100 + percent}"
+    l = f"least({x}l, {y}l)"
+    return (f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n) "
+            f"AND {x}pos < {x}n - {o} + {l} AND {y}pos < {y}n - {o} + {l}")
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, keys: DataFrame, k: int, percent: int) -> DataFrame:
@@ -193,7 +200,7 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     first = signed.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     need = F.expr(f"least({MATCHES}, ceil({percent} * ceil({percent} * n / 100) / 100))")  # what the smallest partner may ask for
     asks = materialize(first.select("row", "n", "l", need.alias("need")))
-    posts = first.select("row", F.explode("prefix").alias("token"))
+    posts = first.select("row", F.posexplode("prefix").alias("pos", "token"))
     for _ in range(2):  # a row needs enough shingles that other rows have too
         held = posts.join(posts.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token"), "token")
         held = materialize(held)
@@ -208,9 +215,9 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     for r in range(ROUNDS):
         now = posts.join(state, "row")
         lead = (now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
-                                         F.min_by(F.struct("row", "n", "comp"), F.xxhash64("row", F.lit(r))).alias("lead"))
+                                         F.min_by(F.struct("row", "n", "l", "pos", "comp"), F.xxhash64("row", F.lit(r))).alias("lead"))
                 .where("low <> high").select("token", "lead"))
-        pairs = (now.join(lead, "token").where("comp <> lead.comp").where(_fits("n", "lead.n", percent))
+        pairs = (now.join(lead, "token").where("comp <> lead.comp").where(_may("", "lead.", percent))
                  .groupBy(*_pair("row", "lead.row")).agg(F.count("*").alias("hits")).where("hits > 1").select("a", "b")
                  .join(done, ["a", "b"], "left_anti"))
         pairs = materialize(pairs)
@@ -226,10 +233,14 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     sizes = now.groupBy("token", "comp").agg(F.count("*").alias("held"))
     mixed = sizes.groupBy("token").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("held", "comp")).alias("major")).where("comps > 1")
     now = materialize(now.join(mixed.select("token", "major"), "token"))
-    other = now.select("token", F.col("row").alias("row2"), F.col("n").alias("n2"), F.col("l").alias("l2"), F.col("comp").alias("comp2"))
-    pairs = (now.where("comp <> major").join(other, "token").where("comp <> comp2 AND (comp2 = major OR row < row2)")
-             .where(_fits("n", "n2", percent)).groupBy(*_pair("row", "row2"))
-             .agg(F.count("*").alias("hits"), F.min(F.least("l", "l2")).alias("asked")).where("hits >= asked").select("a", "b")
+    other = now.select("token", F.struct("row", "n", "l", "pos", "comp").alias("o"))
+    # after the last match counted, at most the shorter rest of both sets can be shared
+    rest = F.least(F.min(F.col("n") - F.col("pos")), F.min(F.col("o.n") - F.col("o.pos"))) - 1
+    least = F.first(F.expr(f"({percent} * (n + o.n) + {100 + percent - 1}) div {100 + percent}"))
+    pairs = (now.where("comp <> major").join(other, "token").where("comp <> o.comp AND (o.comp = major OR row < o.row)")
+             .where(_may("", "o.", percent)).groupBy(*_pair("row", "o.row"))
+             .agg(F.count("*").alias("hits"), F.min(F.least("l", "o.l")).alias("asked"), rest.alias("rest"), least.alias("least"))
+             .where("hits >= asked AND hits + rest >= least").select("a", "b")
              .join(done, ["a", "b"], "left_anti"))
     pairs = materialize(pairs)
     links = links.unionByName(_verify(pairs, rows, keys, k, percent))
