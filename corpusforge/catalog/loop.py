@@ -156,15 +156,17 @@ def batch_failures(spark, d):
     return lost.withColumns({"seed_ids": F.concat_ws(",", F.col("seed_ids").cast("array<string>")), "expected_sentences": F.col("expected_sentences").cast("long")})
 
 
-@query("call_model", sql("corpus", f"SELECT lang, label, batch_idx, CAST(CASE WHEN batch_idx % 4 = 1 THEN NULL ELSE sum(length(text)) END AS BIGINT) AS chars FROM {_BATCHED} GROUP BY lang, label, batch_idx"))
+@query("call_model", sql("corpus", f"SELECT lang, label, batch_idx, CAST(CASE WHEN batch_idx % 4 = 1 OR batch_idx % 8 = 3 THEN NULL ELSE sum(length(text)) END AS BIGINT) AS chars FROM {_BATCHED} GROUP BY lang, label, batch_idx"))
 def call_model(spark, d):
-    """A Python text model over batches of requests: some payloads need a second try, some never parse."""
+    """A Python text model over batches of requests: some payloads need a second try, some never parse, some make it raise."""
     def answer(payloads):
         import json
         seen = answer.__dict__.setdefault("seen", {})
         out = []
         for p in payloads:
             batch, body = p.split(" ", 1)
+            if int(batch) % 8 == 3:
+                raise ConnectionError("refused")
             seen[p] = seen.get(p, 0) + 1
             bad = int(batch) % 4 == 1 or (int(batch) % 4 == 2 and seen[p] == 1)
             out.append("{broken" if bad else json.dumps({"chars": sum(len(s["text"]) for s in json.loads(body))}))

@@ -33,6 +33,12 @@ def py_round(col, digits: int = 0) -> Column:
     return F.when(F.isnan(x), x).otherwise((floor + F.when(up, 1.0).otherwise(0.0)) / scale)
 
 
+def np_round(col, digits: int = 0) -> Column:
+    """Round the product with the power of ten half to even, as numpy and pandas do."""
+    scale = float(10 ** digits)
+    return F.rint(_c(col).cast("double") * scale) / scale
+
+
 def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     """Report form of a metric table: the named columns rounded."""
     return df.withColumns({c: py_round(c, d) for c, d in digits.items()})

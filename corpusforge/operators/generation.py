@@ -7,6 +7,8 @@ are never null.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,10 +77,23 @@ def check_bijection(expected: DataFrame, returned: DataFrame, group: list[str],
     return counts.groupBy(*group).agg(F.every((F.col("e") == 1) & (F.col("r") == 1)).alias("valid"))
 
 
+def _complete(field: str, x: Column) -> Column:
+    """Whether an item of a response has every required field: five variations to a seed, a text to a sentence, a verdict to an evaluation."""
+    has = lambda item, *names: reduce(lambda a, b: a & b, [item.getField(n).isNotNull() for n in names])
+    if field == "seed_analyses":
+        whole = F.forall(x["variations"], lambda v: has(v, "strategy", "preserve"))
+        return has(x, "seed_id", "domain", "style", "sentiment_expression", "variations") & (F.size(x["variations"]) == SENTENCES_PER_SEED) & whole
+    if field == "sentences":
+        return has(x, "plan_id", "text")
+    return has(x, "idx", "verdict") & F.upper(x["verdict"]).isin("PASS", "REJECT")
+
+
 def parse(responses: DataFrame, schema, field: str) -> DataFrame:
-    """Response text parsed into ``parsed``; null when it is no JSON of the expected shape."""
+    """Response text parsed into ``parsed``; null when it is no JSON of the expected shape or an item lacks a required field."""
     body = F.from_json("response", schema, {"mode": "PERMISSIVE"})
-    return responses.withColumn("parsed", body.getField(field))
+    rows = responses.withColumn("parsed", body.getField(field))
+    good = F.forall("parsed", lambda x: F.coalesce(_complete(field, x), F.lit(False)))
+    return rows.withColumn("parsed", F.when(good, F.col("parsed")))
 
 
 def flatten_plans(responses: DataFrame, seeds: DataFrame) -> DataFrame:

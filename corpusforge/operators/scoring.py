@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import PARSE_RETRY
-from ..functions.numeric import pct, py_round
+from ..functions.numeric import np_round, pct, py_round
 from ..functions.text import lid_text, parse_lid
 from ..session import join_on
 from .ranking import top_k
@@ -54,18 +56,29 @@ def identify_language(rows: DataFrame, make_scorer: Callable[[], Callable], k: i
         "lid_lang": parse_lid(best.getField("label")), "lid_conf": py_round(best.getField("score"), 4)})
 
 
+_MODELS: dict[str, Callable] = {}
+
+
 def _cached(make: Callable[[], Callable]) -> Callable[[], Callable]:
-    """One model per Python worker and UDF."""
-    held: list = []
+    """One model per Python worker and factory, whatever the number of tasks.
+
+    The factory is told apart by its pickled form, taken on the driver; the worker keeps the model in this module.
+    """
+    key = hashlib.sha256(cloudpickle.dumps(make)).hexdigest()
 
-    def get():
-        if not held:
-            held.append(make())
-        return held[0]
+    def get() -> Callable:
+        return kept_model(key, make)
 
     return get
 
 
+def kept_model(key: str, make: Callable[[], Callable]) -> Callable:
+    """The model of this process under ``key``, built at first use."""
+    if key not in _MODELS:
+        _MODELS[key] = make()
+    return _MODELS[key]
+
+
 def is_json(answer: str) -> bool:
     """Whether an answer is a JSON object."""
     try:
@@ -76,27 +89,39 @@ def is_json(answer: str) -> bool:
 
 def call_model(requests: DataFrame, fn: Callable[[list[str]], list[str]],
                accept: Callable[[str], bool] = is_json, attempts: int = PARSE_RETRY + 1) -> DataFrame:
-    """Requests with ``response``: the first acceptable answer in ``attempts`` tries, else null.
+    """Requests with ``response``: the first acceptable answer in ``attempts`` tries, else null; ``error``: the last
+    exception of a payload without one.
 
-    ``fn`` maps the payloads of a batch to answers. When it raises, the try counts for every
-    payload of the batch; later tries send only the payloads still open.
+    ``fn`` maps the payloads of a batch to answers, one each (another number is an error of the job). When it raises, the payloads
+    of that try are sent one by one, so one of them can't spoil the others; later tries send only the payloads still open.
     """
-    schema = T.StructType(requests.schema.fields + [T.StructField("response", T.StringType())])
+    requests = requests.drop("response", "error")
+    schema = T.StructType(requests.schema.fields + [T.StructField(n, T.StringType()) for n in ("response", "error")])
+
+    def ask(payloads: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            got = list(fn(payloads))
+        except Exception as e:
+            if len(payloads) > 1:
+                return [one for p in payloads for one in ask([p])]
+            return [(None, f"{type(e).__name__}: {e}")]
+        if len(got) != len(payloads):
+            raise ValueError(f"{len(payloads)} payloads got {len(got)} answers")
+        return [(a, None) for a in got]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             answers: list = [None] * len(pdf)
+            errors: list = [None] * len(pdf)
             for _ in range(attempts):
                 waiting = [i for i, a in enumerate(answers) if a is None]
                 if not waiting:
                     break
-                try:
-                    got = fn([pdf["payload"].iloc[i] for i in waiting])
-                except Exception:
-                    continue
-                for i, a in zip(waiting, got):
-                    answers[i] = a if accept(a) else None
-            yield pdf.assign(response=pd.Series(answers, index=pdf.index, dtype="object"))
+                for i, (a, error) in zip(waiting, ask([pdf["payload"].iloc[i] for i in waiting])):
+                    answers[i] = a if error is None and accept(a) else None
+                    errors[i] = error
+            yield pdf.assign(response=pd.Series(answers, index=pdf.index, dtype="object"),
+                             error=pd.Series(errors, index=pdf.index, dtype="object"))
 
     return requests.mapInPandas(run, schema)
 
@@ -131,9 +156,10 @@ def lid_by_lang(report: DataFrame) -> DataFrame:
 
 def lid_compare(report: DataFrame, models: list[str], deltas: list[tuple[str, str]]) -> DataFrame:
     """Mean top-1 accuracy per language, one column per model, with differences of model pairs."""
-    wide = report.groupBy("lang").agg(*[
-        py_round(F.avg(F.when(F.col("model") == m, py_round("top1_accuracy", 2))), 2).alias(m) for m in models])
-    return wide.withColumns({f"{a}_minus_{b}": py_round(F.col(a) - F.col(b), 2) for a, b in deltas})
+    # two-decimal values: nine decimals free the mean of summation noise before it is rounded
+    mean = lambda m: F.round(F.avg(F.when(F.col("model") == m, py_round("top1_accuracy", 2))), 9)
+    wide = report.groupBy("lang").agg(*[np_round(mean(m), 2).alias(m) for m in models])
+    return wide.withColumns({f"{a}_minus_{b}": np_round(F.round(F.col(a) - F.col(b), 9), 2) for a, b in deltas})
 
 
 def lid_macro(report: DataFrame) -> DataFrame:
