@@ -249,21 +249,20 @@ def transfer_report(spark, d):
 _R = "train_f1 val_f1 test_f1 gap"
 
 
-def _one_seed(spark, d):
-    return _res(spark, d).where("seed = 42")
+_ARMS = """SELECT seed, lang, CAST(printf('%.2f', 100 * max(test_f1) FILTER (config = 'base')) AS DOUBLE) AS baseline,
+  CAST(printf('%.2f', 100 * max(test_f1) FILTER (config = 'aug')) AS DOUBLE) AS augmented,
+  CAST(printf('%.2f', 100 * (max(test_f1) FILTER (config = 'aug') - max(test_f1) FILTER (config = 'base'))) AS DOUBLE) AS delta FROM res GROUP BY ALL"""
 
 
-@query("compare_arms", sql("res", """SELECT * FROM (WITH r AS (SELECT lang, CAST(printf('%.2f', 100 * max(test_f1) FILTER (config = 'base')) AS DOUBLE) AS baseline,
-  CAST(printf('%.2f', 100 * max(test_f1) FILTER (config = 'aug')) AS DOUBLE) AS augmented, CAST(printf('%.2f', 100 * (max(test_f1) FILTER (config = 'aug') - max(test_f1) FILTER (config = 'base'))) AS DOUBLE) AS delta
-  FROM res WHERE seed = 42 GROUP BY ALL) SELECT * FROM r UNION ALL SELECT 'MEAN', CAST(printf('%.2f', round(avg(baseline), 9)) AS DOUBLE), CAST(printf('%.2f', round(avg(augmented), 9)) AS DOUBLE), CAST(printf('%.2f', round(avg(delta), 9)) AS DOUBLE) FROM r)""", "baseline augmented delta"))
+@query("compare_arms", sql("res", f"""SELECT * FROM (WITH r AS ({_ARMS}) SELECT * FROM r UNION ALL SELECT seed, 'MEAN', CAST(printf('%.2f', round(avg(baseline), 9)) AS DOUBLE),
+  CAST(printf('%.2f', round(avg(augmented), 9)) AS DOUBLE), CAST(printf('%.2f', round(avg(delta), 9)) AS DOUBLE) FROM r GROUP BY seed)""", "baseline augmented delta"))
 def compare_arms(spark, d):
-    return R.compare_arms(_one_seed(spark, d), "base", "aug")
+    return R.compare_arms(_res(spark, d), "base", "aug")
 
 
-@query("winners_losers", sql("res", """SELECT count(*) FILTER (x > 0) AS winners, count(*) FILTER (x < 0) AS losers, count(*) AS langs FROM (
-  SELECT lang, CAST(printf('%.2f', 100 * (max(test_f1) FILTER (config = 'aug') - max(test_f1) FILTER (config = 'base'))) AS DOUBLE) AS x FROM res WHERE seed = 42 GROUP BY ALL)"""))
+@query("winners_losers", sql("res", f"""SELECT seed, count(*) FILTER (delta > 0) AS winners, count(*) FILTER (delta < 0) AS losers, count(*) AS langs FROM ({_ARMS}) GROUP BY seed"""))
 def winners_losers(spark, d):
-    return R.winners_losers(R.compare_arms(_one_seed(spark, d), "base", "aug"))
+    return R.winners_losers(R.compare_arms(_res(spark, d), "base", "aug"))
 
 
 def _reference(spark, d):
@@ -449,7 +448,9 @@ def lid_by_lang(spark, d):
     return M.lid_by_lang(_report(spark, d))
 
 
-@query("lid_compare", sql("corpus", f"SELECT *, CAST(printf('%.2f', CAST(a - b AS DOUBLE)) AS DOUBLE) AS a_minus_b FROM (SELECT lang, CAST(printf('%.2f', CAST(avg(a1) FILTER (model = 'a') AS DOUBLE)) AS DOUBLE) AS a, CAST(printf('%.2f', CAST(avg(a1) FILTER (model = 'b') AS DOUBLE)) AS DOUBLE) AS b FROM {_LIDR} GROUP BY ALL)", "a b a_minus_b"))
+@query("lid_compare", sql("corpus", f"""SELECT *, round_even(round(a - b, 9) * 100, 0) / 100 AS a_minus_b FROM (SELECT lang,
+  round_even(round(avg(a1) FILTER (model = 'a'), 9) * 100, 0) / 100 AS a, round_even(round(avg(a1) FILTER (model = 'b'), 9) * 100, 0) / 100 AS b
+  FROM {_LIDR} GROUP BY ALL)""", "a b a_minus_b"))
 def lid_compare(spark, d):
     return M.lid_compare(_report(spark, d), ["a", "b"], [("a", "b")])
 

@@ -89,16 +89,18 @@ def benchmark_edit_ratio(spark, d):
 @query("text_fields", sql("corpus", f"""SELECT id,
   CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS preview, left(text, 120) AS reason,
   md5(regexp_replace(regexp_replace(text, chr(10), ' ', 'g'), '^{SPACES}|{SPACES}$', '', 'g')) AS lid_text_md5,
-  lang AS lid_code, CAST(NULL AS VARCHAR) AS lang_name,
+  lang AS lid_code, CASE lang WHEN 'de' THEN 'Javanese' WHEN 'en' THEN 'Sundanese' WHEN 'es' THEN 'Balinese' END AS lang_name,
   'Length drift: generated sentence (' || length(text) || ' words) deviates too far from seed length (' || id
   || ' words). Generate a sentence with elaboration depth closer to the seed''s character.' AS drift FROM corpus"""))
 def text_fields(spark, d):
     from ..functions.rules import drift_message
     c = corpus(spark, d)
     label = F.concat(F.lit("__label__"), F.col("lang"), F.lit("_Latn"))
+    # the tables' languages stand for codes that have names; fr for one that has none
+    code = F.create_map(*[F.lit(x) for x in ("de", "jav", "en", "sun", "es", "ban", "fr", "xxx")])[F.col("lang")]
     return c.select("id", T.preview("text").alias("preview"), T.reason_prefix("text").alias("reason"),
                     F.md5(T.lid_text("text")).alias("lid_text_md5"), T.parse_lid(label).alias("lid_code"),
-                    T.lang_name("lang").alias("lang_name"),
+                    T.lang_name(code).alias("lang_name"),
                     drift_message(F.length("text"), F.col("id")).alias("drift"))
 
 

@@ -27,20 +27,25 @@ def complete_runs(done: DataFrame, n: int, keys: tuple[str, ...] = ("config", "s
     return done.groupBy(*keys).agg(F.count_distinct("lang").alias("langs")).where(F.col("langs") >= n)
 
 
-def compare_arms(results: DataFrame, base: str, aug: str) -> DataFrame:
-    """Test F1 of two arms per language, the difference, and a MEAN row of the rounded values."""
+def compare_arms(results: DataFrame, base: str, aug: str, by: tuple[str, ...] = ("seed",)) -> DataFrame:
+    """Test F1 of two arms per run (``by``) and language, the difference, and a MEAN row of the rounded values per run.
+
+    Runs are compared like with like: each seed of one arm with the same seed of the other.
+    """
+    by = list(by)
     pick = lambda c: F.max(F.when(F.col("config") == c, F.col("test_f1")))
-    wide = results.groupBy("lang").agg(pick(base).alias("b"), pick(aug).alias("a")).where("a IS NOT NULL AND b IS NOT NULL")
-    rows = wide.select("lang", py_round(F.col("b") * 100, 2).alias("baseline"), py_round(F.col("a") * 100, 2).alias("augmented"),
+    wide = results.groupBy(*by, "lang").agg(pick(base).alias("b"), pick(aug).alias("a")).where("a IS NOT NULL AND b IS NOT NULL")
+    rows = wide.select(*by, "lang", py_round(F.col("b") * 100, 2).alias("baseline"), py_round(F.col("a") * 100, 2).alias("augmented"),
                        py_round((F.col("a") - F.col("b")) * 100, 2).alias("delta"))
     # two-decimal values: nine decimals free the mean of summation noise before it is rounded
-    mean = rows.agg(*[py_round(F.round(F.avg(c), 9), 2).alias(c) for c in ("baseline", "augmented", "delta")])
-    return rows.unionByName(mean.select(F.lit("MEAN").alias("lang"), "baseline", "augmented", "delta").where("delta IS NOT NULL"))
+    mean = rows.groupBy(*by).agg(*[py_round(F.round(F.avg(c), 9), 2).alias(c) for c in ("baseline", "augmented", "delta")])
+    return rows.unionByName(mean.select(*by, F.lit("MEAN").alias("lang"), "baseline", "augmented", "delta").where("delta IS NOT NULL"))
 
 
-def winners_losers(compared: DataFrame) -> DataFrame:
+def winners_losers(compared: DataFrame, by: tuple[str, ...] = ("seed",)) -> DataFrame:
+    """Languages that gained and lost, per run."""
     rows = compared.where(F.col("lang") != "MEAN")
-    return rows.agg(F.count_if(F.col("delta") > 0).alias("winners"), F.count_if(F.col("delta") < 0).alias("losers"),
+    return rows.groupBy(*by).agg(F.count_if(F.col("delta") > 0).alias("winners"), F.count_if(F.col("delta") < 0).alias("losers"),
                     F.count(F.lit(1)).alias("langs"))
 
 
