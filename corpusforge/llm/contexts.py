@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext
-from .tables import bit_filter, in_filter, materialize
+from ..session import scratch_path
+from .tables import bit_filter, in_filter, materialize, null_join
 
 #: Bytes of text over which a task folds equal anchors and contexts before it emits them.
 FLUSH = 1 << 25
@@ -131,4 +132,35 @@ def candidates(docs: DataFrame, unit) -> DataFrame:
                     pa.array((hi - lo + 1).astype(np.int32)), pa.array((pick - lo).astype(np.int32)), pa.array(ctx, pa.binary())],
                     names=["h", "cd", "doc", "t", "start", "n", "off", "ctx"])
 
-    return materialize(docs.select("doc", "t", "text").mapInArrow(cut, "h long, cd long, doc long, t long, start int, n int, off int, ctx binary"))
+    path = scratch_path(docs.sparkSession, "contexts")
+    docs.select("doc", "t", "text").mapInArrow(cut, "h long, cd long, doc long, t int, start int, n int, off int, ctx binary") \
+        .write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Documents as doc, t and text; ``t`` tells texts of a repeated id apart."""
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("t"), F.col(text).alias("text"))
+
+
+def finish(docs: DataFrame, gone: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` over all documents (doc, text, s, e), with the lists s and e of ``gone`` (doc, t, s, e; one row per document) or nulls.
+
+    A bitmap of fixed size tells documents that surely have no row in ``gone``; their texts are not shuffled.
+    """
+    gone = materialize(gone)
+    mark = F.xxhash64("doc", "t")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(gone.select(mark.alias("h")), "h", 1 << 23))
+    docs = docs.withColumn("h", mark)
+
+    def part(hit: bool):
+        def run(batches):
+            for batch in batches:
+                may = in_filter(shared.value, batch.column("h").to_numpy().view(np.uint64))
+                yield batch.filter(pa.array(may == hit))
+        return run
+
+    marked = "doc long, t int, text string, h long"
+    none = docs.mapInArrow(part(False), marked).selectExpr("doc", "text", "CAST(NULL AS array<int>) AS s", "CAST(NULL AS array<int>) AS e")
+    some = null_join(docs.mapInArrow(part(True), marked).drop("h"), gone, ["doc", "t"], "left").select("doc", "text", "s", "e")
+    return none.mapInArrow(work, schema).unionByName(some.mapInArrow(work, schema))

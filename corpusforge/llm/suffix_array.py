@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext
-from .contexts import Bytes, candidates
-from .tables import materialize, null_join
+from .contexts import Bytes, candidates, finish, keyed
+from .tables import materialize
 
 #: Contexts of one suffix array, about; and contexts of one anchor above which it is split by whole windows.
 GROUP, HOT = 4_000, 2_000
@@ -158,7 +158,7 @@ def maximal_repeats(docs: DataFrame, size: int, doc_id: str = "doc_id", text: st
     bytes long, so a longer repeat comes as a chain of overlapping groups), or a context that stands several times. Anchors with very many contexts
     give groups of ``size`` bytes.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    docs = keyed(docs, doc_id, text)
     found = candidates(docs, Bytes(size))
     folded, few, many = _split(found)
 
@@ -187,10 +187,8 @@ def remove_repeats(docs: DataFrame, size: int = 200, doc_id: str = "doc_id", tex
     the input. Texts count as UTF-8 (null: empty); matches stay within a document. A repeated row is somewhere else; ids may be null or
     repeated.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    stretches = repeated_stretches(docs, size).distinct()
-    gone = stretches.groupBy("doc", "t").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
-    marked = null_join(docs, gone, ["doc", "t"], "left").select("doc", "text", F.array_sort("s").alias("s"), F.array_sort("e").alias("e"))
+    docs = keyed(docs, doc_id, text)
+    gone = repeated_stretches(docs, size).groupBy("doc", "t").agg(F.array_sort(F.collect_list("s")).alias("s"), F.array_sort(F.collect_list("e")).alias("e"))
 
     def drop(batches):
         for batch in batches:
@@ -221,5 +219,5 @@ def remove_repeats(docs: DataFrame, size: int = 200, doc_id: str = "doc_id", tex
                                               pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
                                              names=[doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = marked.mapInArrow(drop, f"`{doc_id}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = finish(docs, gone, drop, f"`{doc_id}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_bytes else out.drop("kept")

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext
-from .contexts import Spaced, candidates
-from .tables import materialize, null_join
+from .contexts import Spaced, candidates, finish, keyed
+from .tables import materialize
 
 #: Contexts of one group of subtrees, about; and contexts under one prefix above which the prefix is lengthened to whole windows.
 GROUP, HOT = 8_000, 2_000
@@ -59,7 +59,7 @@ def deep_nodes(common: np.ndarray, least: int):
 
 
 def _tree_minima(ctx: DataFrame, size: int) -> DataFrame:
-    """Per context (h, cd) and window with an earlier document: the window's place and the smallest document rank that holds it."""
+    """Per context (h, cd) and run of windows (places ``i`` to ``j``) with an earlier document: the smallest document rank that holds them."""
 
     def work(table: pa.Table) -> pa.Table:
         owner, place, _, common = suffixes(table.column("ctx").to_pylist(), size)
@@ -69,13 +69,19 @@ def _tree_minima(ctx: DataFrame, size: int) -> DataFrame:
             if top:  # all suffixes with these first words; nodes below are longer repeats of fewer of them
                 best[first:last + 1] = rank[first:last + 1].min()
         hit = best < table.column("most").to_numpy()[owner]
-        rows = pa.array(owner[hit])
-        return pa.table({"h": table.column("h").take(rows), "cd": table.column("cd").take(rows), "i": pa.array(place[hit].astype(np.int32)),
-                         "best": pa.array(best[hit])})
+        order = np.lexsort((place[hit], owner[hit]))
+        owner, place, best = owner[hit][order], place[hit][order], best[hit][order]
+        new = np.ones(owner.size, bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1) | (best[1:] != best[:-1])
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [owner.size]]) - 1 if first.size else first
+        rows = pa.array(owner[first])
+        return pa.table({"h": table.column("h").take(rows), "cd": table.column("cd").take(rows), "i": pa.array(place[first].astype(np.int32)),
+                         "j": pa.array(place[last].astype(np.int32)), "best": pa.array(best[first])})
 
     groups = max(1, -(-ctx.count() // GROUP))
     ctx = ctx.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(groups)))
-    return ctx.select("bucket", "h", "cd", "ctx", "least", "most").groupBy("bucket").applyInArrow(work, "h long, cd long, i int, best long")
+    return ctx.select("bucket", "h", "cd", "ctx", "least", "most").groupBy("bucket").applyInArrow(work, "h long, cd long, i int, j int, best long")
 
 
 def _long_prefix_minima(ctx: DataFrame, size: int) -> DataFrame:
@@ -86,24 +92,21 @@ def _long_prefix_minima(ctx: DataFrame, size: int) -> DataFrame:
     one = one.select("h", "cd", "i", "least", "most", (F.col("off") - F.col("i")).alias("place"),
                      F.md5(F.array_join(F.slice("words", F.col("i") + 1, F.lit(size)), " ").cast("binary")).alias("window"))
     nodes = one.groupBy("h", "place", "window").agg(F.min("least").alias("best"))
-    return one.join(nodes, ["h", "place", "window"]).where("best < most").select("h", "cd", "i", "best")
+    return one.join(nodes, ["h", "place", "window"]).where("best < most").select("h", "cd", "i", F.col("i").alias("j"), "best")
 
 
 def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, t, i): places of the windows of ``size`` words of each document that also start in an earlier document."""
+    """(doc, t, s, e): stretches of words of each document under windows of ``size`` words that also start in an earlier document."""
     found = candidates(docs, Spaced(size)).withColumn("rank", F.coalesce("doc", F.lit(LAST)))
     folded = materialize(found.groupBy("h", "cd").agg(F.min("rank").alias("least"), F.max("rank").alias("most"), F.first("n").alias("n")))
     several = folded.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    items = found.where("ctx IS NOT NULL").select("h", "cd", "off", "ctx").dropDuplicates(["h", "cd"])
-    items = materialize(items.join(several, "h").join(folded.select("h", "cd", "least", "most"), ["h", "cd"]))
+    items = found.where("ctx IS NOT NULL").select("h", "cd", "off", "ctx").join(several, "h").dropDuplicates(["h", "cd"])
+    items = materialize(items.join(folded.select("h", "cd", "least", "most"), ["h", "cd"]))
     trees = _tree_minima(items.where(F.col("kinds") <= HOT), size).unionByName(_long_prefix_minima(items.where(F.col("kinds") > HOT), size))
-    alone = folded.where("least < most").join(several, "h", "left_anti")
-    alone = alone.select("h", "cd", F.posexplode(F.array_repeat("least", F.col("n"))).alias("i", "best"))
-    minima = trees.unionByName(alone).groupBy("h", "cd").agg(F.collect_list(F.struct("i", "best")).alias("windows"))  # at most the windows of a context
-    minima = materialize(minima)
-    hits = found.select("h", "cd", "doc", "t", "rank", "start").join(minima, ["h", "cd"])
-    own = F.filter("windows", lambda w: w["best"] < F.col("rank"))
-    return hits.select("doc", "t", F.transform(own, lambda w: w["i"] + F.col("start")).alias("at")).where(F.size("at") > 0)
+    alone = folded.where("least < most").join(several, "h", "left_anti").select("h", "cd", F.lit(0).alias("i"), (F.col("n") - 1).alias("j"), F.col("least").alias("best"))
+    minima = materialize(trees.unionByName(alone))
+    hits = found.select("h", "cd", "doc", "t", "rank", "start").join(minima, ["h", "cd"]).where("best < rank")
+    return hits.select("doc", "t", (F.col("start") + F.col("i")).alias("s"), (F.col("start") + F.col("j") + size).alias("e"))
 
 
 def repeats(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,7 +114,7 @@ def repeats(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "tex
 
     Repeats that reach over several contexts come as overlapping ones; a context that stands several times is one too.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    docs = keyed(docs, doc_id, text)
     found = candidates(docs, Spaced(size))
     items = found.where("ctx IS NOT NULL").select("h", "cd", "ctx").dropDuplicates(["h", "cd"])
     held = found.groupBy("h", "cd").agg(F.count("*").alias("held"), F.first("n").alias("n"))
@@ -139,20 +142,19 @@ def remove_repeats(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text
     windows are judged on the input. Words have no ASCII white space and stay as they are (null: none). Documents without an id come
     after all others and leave each other alone, as do rows with the same id.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    gone = repeated_windows(docs, size).distinct().groupBy("doc", "t").agg(F.flatten(F.collect_list("at")).alias("at"))
-    marked = null_join(docs, gone, ["doc", "t"], "left").select("doc", "text", "at")
+    docs = keyed(docs, doc_id, text)
+    gone = repeated_windows(docs, size).groupBy("doc", "t").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
 
     def drop(batches):
         for batch in batches:
             for i, j, w in _blocks(batch.column(1)):
                 n, removed, sha, kept = np.diff(w.first), [], [], []
                 for d in range(j - i):
-                    at = batch.column(2)[i + d].as_py()
+                    first, last = batch.column(2)[i + d].as_py(), batch.column(3)[i + d].as_py()
                     gone = np.zeros(int(n[d]) + 1, np.int64)
-                    if at:
-                        np.add.at(gone, np.array(at), 1)
-                        np.add.at(gone, np.array(at) + size, -1)
+                    if first:
+                        np.add.at(gone, np.array(first), 1)
+                        np.add.at(gone, np.array(last), -1)
                     stay = np.flatnonzero(np.cumsum(gone)[:-1] == 0) + int(w.first[d])
                     rest = b" ".join([w.data[a:b].tobytes() for a, b in zip(w.start[stay].tolist(), w.end[stay].tolist())])
                     removed.append(int(n[d]) - stay.size)
@@ -162,7 +164,7 @@ def remove_repeats(docs: DataFrame, size: int = 13, doc_id: str = "doc_id", text
                                                   pa.array(sha, pa.string()), pa.array(kept, pa.string())],
                                                  names=[doc_id, "n_words", "n_removed", "kept_sha256", "kept"])
 
-    out = marked.mapInArrow(drop, f"`{doc_id}` long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = finish(docs, gone, drop, f"`{doc_id}` long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if keep_text else out.drop("kept")
 
 
