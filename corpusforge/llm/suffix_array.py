@@ -14,7 +14,7 @@ from .contexts import Bytes, candidates, finish, keyed
 from .tables import materialize
 
 #: Contexts of one suffix array, about; and contexts of one anchor above which it is split by whole windows.
-GROUP, HOT = 4_000, 2_000
+GROUP, HOT = 4_000, 16_000
 
 
 def suffix_order(data: np.ndarray, at: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

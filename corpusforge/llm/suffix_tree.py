@@ -14,7 +14,7 @@ from .contexts import Spaced, candidates, finish, keyed
 from .tables import materialize
 
 #: Contexts of one group of subtrees, about; and contexts under one prefix above which the prefix is lengthened to whole windows.
-GROUP, HOT = 8_000, 2_000
+GROUP, HOT = 8_000, 16_000
 #: Rank of documents without an id: after all others.
 LAST = (1 << 63) - 1
 
