@@ -16,7 +16,7 @@ from . import nptext
 from ..session import scratch_path
 from .tables import bit_filter, in_filter, materialize, null_join
 
-#: Bytes of text over which a task folds equal anchors and contexts before it emits them.
+#: Items (bytes or words) of text over which a task folds equal anchors and contexts before it emits them.
 FLUSH = 1 << 25
 
 
@@ -98,9 +98,33 @@ def repeated_anchors(docs: DataFrame, unit) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h long, n tinyint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
+#: Rank of documents without an id: after all others.
+LAST = (1 << 63) - 1
+_CONTEXT = ("h long, cd long, n int, off int, ctx binary, held long, least long, most long, docs array<bigint>, ts array<int>, starts array<int>")
+
+
+def _fold(held: list[tuple], ctx: dict[tuple[int, int], bytes]) -> pa.RecordBatch:
+    """One row per context of a flush, with its occurrences as lists."""
+    h, cd, doc, none, t, start, n, off = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((cd, h))
+    h, cd, doc, none, t, start, n, off = (x[order] for x in (h, cd, doc, none, t, start, n, off))
+    new = np.ones(h.size, bool)
+    new[1:] = (h[1:] != h[:-1]) | (cd[1:] != cd[:-1])
+    first = np.flatnonzero(new)
+    size = np.diff(np.concatenate([first, [h.size]]))
+    rank = np.where(none, LAST, doc)
+    cut = pa.array(np.concatenate([first, [h.size]]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(cut, x) for x in (pa.array(doc, mask=none), pa.array(t), pa.array(start))]
+    return pa.RecordBatch.from_arrays([
+        pa.array(h[first]), pa.array(cd[first]), pa.array(n[first]), pa.array(off[first]),
+        pa.array([ctx[k] for k in zip(h[first].tolist(), cd[first].tolist())], pa.binary()), pa.array(size),
+        pa.array(np.minimum.reduceat(rank, first)), pa.array(np.maximum.reduceat(rank, first)), *lists], names=[x.split()[0] for x in _CONTEXT.split(", ")])
+
+
 def candidates(docs: DataFrame, unit) -> DataFrame:
-    """Contexts whose anchor stands at least twice: anchor ``h``, digest ``cd``, document (``doc``, ``t``), ``start`` of the first
-    window, number of windows ``n``, place ``off`` of the anchor, and their items ``ctx`` (null where the same task has already given them).
+    """Contexts whose anchor stands at least twice: anchor ``h``, digest ``cd``, number of windows ``n``, place ``off`` of the anchor, items ``ctx``, and
+    the occurrences that a task has seen since its last flush: their number ``held``, smallest and largest rank of their documents, and lists
+    of documents (``docs``, ``ts``) and first windows (``starts``).
 
     ``docs`` has doc, t and text. A bitmap of fixed size keeps most other anchors back; the rest are told apart later. Written to the shared folder.
     """
@@ -108,36 +132,55 @@ def candidates(docs: DataFrame, unit) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated_anchors(docs, unit), "h"))
 
     def cut(batches):
-        seen: set[tuple[int, int]] = set()
-        n = 0
+        held: list[tuple] = []
+        ctx: dict[tuple[int, int], bytes] = {}
+        size = 0
         for batch in batches:
-            docs_, keys = batch.column(0), batch.column(1)
+            doc, t = batch.column(0), batch.column(1).to_numpy()
+            none = np.asarray(doc.is_null())
+            doc = doc.fill_null(0).to_numpy()
             for i, _, p in unit.pieces(batch.column(2)):
-                n += p.items.size
-                if n >= FLUSH:
-                    seen, n = set(), 0
+                size += p.items.size
                 pick, lo, hi = nptext.anchors(p.values, width, p.valid)
                 ok = in_filter(shared.value, p.values[pick])
                 pick, lo, hi = pick[ok], lo[ok], hi[ok]
-                if not pick.size:
-                    continue
                 h, cd = nptext.signed(p.values[pick]), nptext.signed(p.digest(lo, hi + unit.size))
-                ctx = []
                 for key, a, b in zip(zip(h.tolist(), cd.tolist()), lo.tolist(), hi.tolist()):
-                    ctx.append(None if key in seen else p.cut(a, b + unit.size))
-                    seen.add(key)
-                rows = pa.array(p.row[lo] + i)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(h), pa.array(cd), docs_.take(rows), keys.take(rows), pa.array(p.place[lo].astype(np.int32)),
-                    pa.array((hi - lo + 1).astype(np.int32)), pa.array((pick - lo).astype(np.int32)), pa.array(ctx, pa.binary())],
-                    names=["h", "cd", "doc", "t", "start", "n", "off", "ctx"])
+                    if key not in ctx:
+                        ctx[key] = p.cut(a, b + unit.size)
+                row = p.row[lo] + i
+                if pick.size:
+                    held.append((h, cd, doc[row], none[row], t[row], p.place[lo].astype(np.int32), (hi - lo + 1).astype(np.int32), (pick - lo).astype(np.int32)))
+                if size >= FLUSH and held:
+                    yield _fold(held, ctx)
+                    held, ctx, size = [], {}, 0
+        if held:
+            yield _fold(held, ctx)
 
     path = scratch_path(docs.sparkSession, "contexts")
-    docs.select("doc", "t", "text").mapInArrow(cut, "h long, cd long, doc long, t int, start int, n int, off int, ctx binary") \
-        .write.option("compression", "zstd").parquet(path)
+    docs.select("doc", "t", "text").mapInArrow(cut, _CONTEXT).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
+def occurrences(found: DataFrame, parts: DataFrame, *keep: str) -> DataFrame:
+    """Rows of ``parts`` (h, cd and the columns ``keep``) for every occurrence of their context: doc, t, start, and ``keep``."""
+    rows = found.select("h", "cd", "docs", "ts", "starts").join(parts, ["h", "cd"])
+    return rows.select(F.explode(F.arrays_zip("docs", "ts", "starts")).alias("o"), *keep).select(
+        F.col("o.docs").alias("doc"), F.col("o.ts").alias("t"), F.col("o.starts").alias("start"), *keep)
+
+
+def items_of(found: DataFrame, several: DataFrame) -> DataFrame:
+    """Items of each different context (h, cd, off, ctx, kinds) whose anchor is in ``several`` (h, kinds)."""
+    shared = found.sparkSession.sparkContext.broadcast(bit_filter(several, "h"))
+
+    def pass_on(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_filter(shared.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    rows = found.select("h", "cd", "off", "ctx").mapInArrow(pass_on, "h long, cd long, off int, ctx binary")
+    return rows.join(several, "h").dropDuplicates(["h", "cd"])
+
+
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Documents as doc, t and text; ``t`` tells texts of a repeated id apart."""
     return docs.select(F.col(doc_id).cast("long").alias("doc"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("t"), F.col(text).alias("text"))

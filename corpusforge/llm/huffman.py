@@ -199,9 +199,9 @@ def id_counts(tokens: DataFrame, vocabulary: int, width: int = 2) -> np.ndarray:
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], names=["id", "n"])
 
-    got = tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(vocabulary, np.int64)
-    out[got["id"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
+    out[got.column("id").to_numpy().astype(np.int64)] = got.column("n").to_numpy()
     return out
 
 

@@ -76,9 +76,9 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], names=["bucket", "n"])
 
-    got = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SKETCH, np.int32)
-    out[got["bucket"].to_numpy(dtype=np.int64)] = np.minimum(got["n"].to_numpy(dtype=np.int64), (1 << 31) - 1)
+    out[got.column("bucket").to_numpy().astype(np.int64)] = np.minimum(got.column("n").to_numpy(), (1 << 31) - 1)
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext
-from .contexts import Bytes, candidates, finish, keyed
+from .contexts import Bytes, candidates, finish, items_of, keyed, occurrences
 from .tables import materialize
 
 #: Contexts of one suffix array, about; and contexts of one anchor above which it is split by whole windows.
@@ -131,11 +131,9 @@ def _cover_hot(ctx: DataFrame, size: int) -> DataFrame:
 
 def _split(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Folded contexts (h, cd, held, n), and the items of those whose anchor has others: with few, and with very many contexts."""
-    folded = materialize(found.groupBy("h", "cd").agg(F.count("*").alias("held"), F.first("n").alias("n")))
-    sizes = folded.groupBy("h").agg(F.count("*").alias("kinds"))
-    several = sizes.where("kinds > 1")
-    items = found.where("ctx IS NOT NULL").select("h", "cd", "off", "ctx").join(several, "h").dropDuplicates(["h", "cd"])
-    items = materialize(items)
+    folded = materialize(found.groupBy("h", "cd").agg(F.sum("held").alias("held"), F.first("n").alias("n")))
+    several = materialize(folded.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    items = materialize(items_of(found, several))
     return folded, items.where(F.col("kinds") <= HOT), items.where(F.col("kinds") > HOT)
 
 
@@ -147,8 +145,7 @@ def repeated_stretches(docs: DataFrame, size: int) -> DataFrame:
     single = folded.where("held = 1").select("h", "cd")
     part = _cover(few, size).unionByName(_cover_hot(many, size)).join(single, ["h", "cd"], "left_semi")
     ranges = materialize(whole.unionByName(part))
-    return found.select("h", "cd", "doc", "t", "start").join(ranges, ["h", "cd"]).select(
-        "doc", "t", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
+    return occurrences(found, ranges, "s", "e").select("doc", "t", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
 
 
 def maximal_repeats(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,7 +174,7 @@ def maximal_repeats(docs: DataFrame, size: int, doc_id: str = "doc_id", text: st
     copies = folded.where("held > 1").select(F.concat_ws(".", F.lit("copy"), "h", "cd").alias("repeat"), (F.col("n") + size - 1).cast("int").alias("length"),
                                              "h", "cd", F.lit(0).alias("s"))
     every = groups.unionByName(hot).unionByName(copies)
-    return every.join(found.select("h", "cd", "doc", "start"), ["h", "cd"]).select("repeat", "length", F.col("doc").alias(doc_id), (F.col("start") + F.col("s")).alias("start"))
+    return occurrences(found, every, "repeat", "length", "s").select("repeat", "length", F.col("doc").alias(doc_id), (F.col("start") + F.col("s")).alias("start"))
 
 
 def remove_repeats(docs: DataFrame, size: int = 200, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = False) -> DataFrame:

@@ -10,13 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nptext
-from .contexts import Spaced, candidates, finish, keyed
+from .contexts import LAST, Spaced, candidates, finish, items_of, keyed, occurrences
 from .tables import materialize
 
 #: Contexts of one group of subtrees, about; and contexts under one prefix above which the prefix is lengthened to whole windows.
 GROUP, HOT = 8_000, 16_000
-#: Rank of documents without an id: after all others.
-LAST = (1 << 63) - 1
 
 
 def suffixes(contexts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,15 +95,14 @@ def _long_prefix_minima(ctx: DataFrame, size: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
     """(doc, t, s, e): stretches of words of each document under windows of ``size`` words that also start in an earlier document."""
-    found = candidates(docs, Spaced(size)).withColumn("rank", F.coalesce("doc", F.lit(LAST)))
-    folded = materialize(found.groupBy("h", "cd").agg(F.min("rank").alias("least"), F.max("rank").alias("most"), F.first("n").alias("n")))
-    several = folded.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    items = found.where("ctx IS NOT NULL").select("h", "cd", "off", "ctx").join(several, "h").dropDuplicates(["h", "cd"])
-    items = materialize(items.join(folded.select("h", "cd", "least", "most"), ["h", "cd"]))
+    found = candidates(docs, Spaced(size))
+    folded = materialize(found.groupBy("h", "cd").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.first("n").alias("n")))
+    several = materialize(folded.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    items = materialize(items_of(found, several).join(folded.select("h", "cd", "least", "most"), ["h", "cd"]))
     trees = _tree_minima(items.where(F.col("kinds") <= HOT), size).unionByName(_long_prefix_minima(items.where(F.col("kinds") > HOT), size))
     alone = folded.where("least < most").join(several, "h", "left_anti").select("h", "cd", F.lit(0).alias("i"), (F.col("n") - 1).alias("j"), F.col("least").alias("best"))
     minima = materialize(trees.unionByName(alone))
-    hits = found.select("h", "cd", "doc", "t", "rank", "start").join(minima, ["h", "cd"]).where("best < rank")
+    hits = occurrences(found, minima, "i", "j", "best").where(F.col("best") < F.coalesce("doc", F.lit(LAST)))
     return hits.select("doc", "t", (F.col("start") + F.col("i")).alias("s"), (F.col("start") + F.col("j") + size).alias("e"))
 
 
@@ -116,8 +113,8 @@ def repeats(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "tex
     """
     docs = keyed(docs, doc_id, text)
     found = candidates(docs, Spaced(size))
-    items = found.where("ctx IS NOT NULL").select("h", "cd", "ctx").dropDuplicates(["h", "cd"])
-    held = found.groupBy("h", "cd").agg(F.count("*").alias("held"), F.first("n").alias("n"))
+    items = found.select("h", "cd", "ctx").dropDuplicates(["h", "cd"])
+    held = found.groupBy("h", "cd").agg(F.sum("held").alias("held"), F.first("n").alias("n"))
 
     def work(table: pa.Table) -> pa.Table:
         owner, place, _, common = suffixes(table.column("ctx").to_pylist(), size)
@@ -131,7 +128,7 @@ def repeats(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "tex
     groups = max(1, -(-items.count() // GROUP))
     nodes = items.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(groups))).groupBy("bucket").applyInArrow(work, "repeat string, length int, h long, cd long, i int")
     copies = held.where("held > 1").select(F.concat_ws(".", F.lit("copy"), "h", "cd").alias("repeat"), (F.col("n") + size - 1).cast("int").alias("length"), "h", "cd", F.lit(0).alias("i"))
-    return nodes.unionByName(copies).join(found.select("h", "cd", "doc", "start"), ["h", "cd"]).select(
+    return occurrences(found, nodes.unionByName(copies), "repeat", "length", "i").select(
         "repeat", "length", F.col("doc").alias(doc_id), (F.col("start") + F.col("i")).alias("start"))
 
 

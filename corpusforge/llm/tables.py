@@ -37,11 +37,11 @@ def bit_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndar
     """
     slot = F.col(column).bitwiseAND(F.lit(bits - 1))
     words = (keys.where(F.col(column).isNotNull())
-             .select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))").alias("b"))
+             .select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))").alias("b"))
              .groupBy("w").agg(F.bit_or("b").alias("b")))
     out = np.zeros(bits // 64, dtype=np.int64)
-    got = words.toPandas()
-    out[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.int64)
+    got = words.toArrow()
+    out[got.column("w").to_numpy().astype(np.int64)] = got.column("b").to_numpy()
     return out.view(np.uint64)
 
 
