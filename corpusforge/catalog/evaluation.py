@@ -61,14 +61,14 @@ def results(spark, d):
     return _res(spark, d)
 
 
-_DELTA = """SELECT lang, label, max(f1) FILTER (model = 'base') AS base_f1, max(f1) FILTER (model = 'aug') AS aug_f1,
+_DELTA = """SELECT seed, lang, label, max(f1) FILTER (model = 'base') AS base_f1, max(f1) FILTER (model = 'aug') AS aug_f1,
   max(f1) FILTER (model = 'aug') - max(f1) FILTER (model = 'base') AS delta FROM (
-  SELECT model, lang, label, CASE WHEN sum(predicted + support) = 0 THEN 0.0 ELSE 200.0 * sum(tp) / sum(predicted + support) END AS f1
-  FROM cls WHERE split = 'test' AND seed = 42 GROUP BY ALL) GROUP BY ALL"""
+  SELECT model, seed, lang, label, CASE WHEN sum(predicted + support) = 0 THEN 0.0 ELSE 200.0 * sum(tp) / sum(predicted + support) END AS f1
+  FROM cls WHERE split = 'test' GROUP BY ALL) GROUP BY ALL"""
 
 
 def _delta(spark, d):
-    return C.class_delta(_pred(spark, d).where("split = 'test' AND seed = 42"), "base", "aug")
+    return C.class_delta(_pred(spark, d).where("split = 'test'"), "base", "aug", ("seed", "lang"))
 
 
 @query("class_delta", sql("cls", _DELTA, "base_f1 aug_f1 delta"))
@@ -76,9 +76,9 @@ def class_delta(spark, d):
     return _delta(spark, d)
 
 
-@query("class_delta_wide", sql("cls", "SELECT lang, " + ", ".join(f"max(delta) FILTER (label = '{x}') AS {x}" for x in LABELS) + f" FROM ({_DELTA}) GROUP BY ALL", " ".join(LABELS)))
+@query("class_delta_wide", sql("cls", "SELECT seed, lang, " + ", ".join(f"max(delta) FILTER (label = '{x}') AS {x}" for x in LABELS) + f" FROM ({_DELTA}) GROUP BY ALL", " ".join(LABELS)))
 def class_delta_wide(spark, d):
-    return C.class_delta_wide(_delta(spark, d))
+    return C.class_delta_wide(_delta(spark, d), ("seed", "lang"))
 
 
 @query("class_delta_mean", sql("cls", f"SELECT label, avg(delta) AS mean_delta FROM ({_DELTA}) GROUP BY ALL", "mean_delta"))
@@ -103,7 +103,7 @@ _IMPLICIT = f"""(SELECT c.lang, c.id, c.label, c.text, c.id NOT IN (SELECT w.id
 
 def _with_implicit(spark, d):
     t = _texts(spark, d)
-    rows = _pred(spark, d).where("split = 'test' AND seed = 42")
+    rows = _pred(spark, d).where("split = 'test'")
     return C.with_implicit(rows, t.where("corpus = 'test'"), t.where("corpus = 'seed'"))
 
 
@@ -114,16 +114,18 @@ def implicit_flags(spark, d):
 
 
 @query("implicit_errors", sql("tok pred", f"""SELECT * EXCLUDE (x), n * x * x / nullif((er + ew) * 1.0 * (ir + iw) * (er + ir) * (ew + iw), 0) AS chi2 FROM (
-  SELECT *, greatest(0, abs(er * iw - ew * ir) - n / 2.0) AS x FROM (SELECT model, lang, count(*) AS n, count(*) FILTER (NOT ok) AS errors,
+  SELECT *, greatest(0, abs(er * iw - ew * ir) - n / 2.0) AS x FROM (SELECT model, seed, lang, count(*) AS n, count(*) FILTER (NOT ok) AS errors,
     count(*) FILTER (implicit AND NOT ok) AS iw, count(*) FILTER (implicit AND ok) AS ir, count(*) FILTER (NOT implicit AND NOT ok) AS ew,
     count(*) FILTER (NOT implicit AND ok) AS er, count(*) FILTER (NOT ok AND (true_label = 'neutral' OR pred_label = 'neutral')) AS neutral_wrong,
     count(*) FILTER (NOT ok AND round(conf, 3) > 0.9) AS sure_wrong
-  FROM (SELECT p.*, p.true_label = p.pred_label AS ok, i.implicit FROM pred p JOIN {_IMPLICIT} i ON i.id = p.example_id WHERE p.split = 'test' AND p.seed = 42) GROUP BY ALL))""".replace(
-    "SELECT * EXCLUDE (x),", "SELECT model, lang, n, errors, iw AS imp_wrong, ir AS imp_right, ew AS exp_wrong, er AS exp_right, neutral_wrong, sure_wrong, "
+  FROM (SELECT p.*, p.true_label = p.pred_label AS ok, i.implicit FROM pred p JOIN {_IMPLICIT} i ON i.id = p.example_id WHERE p.split = 'test') GROUP BY ALL))""".replace(
+    "SELECT * EXCLUDE (x),", "SELECT model, seed, lang, n, errors, iw AS imp_wrong, ir AS imp_right, ew AS exp_wrong, er AS exp_right, neutral_wrong, sure_wrong, "
     "iw * 1.0 / nullif(iw + ir, 0) AS err_implicit, ew * 1.0 / nullif(ew + er, 0) AS err_explicit, "
-    "(iw * 1.0 / nullif(iw + ir, 0)) / nullif(ew * 1.0 / nullif(ew + er, 0), 0) AS lift,"), "err_implicit err_explicit lift chi2"))
+    "iw * 1.0 / nullif(errors, 0) AS implicit_share, neutral_wrong * 1.0 / nullif(errors, 0) AS neutral_share, sure_wrong * 1.0 / nullif(errors, 0) AS confident_share, "
+    "(iw * 1.0 / nullif(iw + ir, 0)) / nullif(ew * 1.0 / nullif(ew + er, 0), 0) AS lift,"), "err_implicit err_explicit lift chi2 implicit_share neutral_share confident_share"))
 def implicit_errors(spark, d):
-    return C.implicit_errors(_with_implicit(spark, d), ["model", "lang"]).drop("p_value", "implicit_share", "neutral_share", "confident_share")
+    """Without the p value, which needs the error function that the comparison SQL lacks."""
+    return C.implicit_errors(_with_implicit(spark, d), ["model", "seed", "lang"]).drop("p_value")
 
 
 def _with_text(spark, d):
@@ -190,7 +192,7 @@ _FACTS = """(SELECT c.lang, c.id, count(*) FILTER (w.token IS NOT NULL AND s.tok
 
 def _flip_facts(spark, d):
     t = _texts(spark, d)
-    flips = _flips(spark, d).where("split = 'test' AND seed = 42")
+    flips = _flips(spark, d).where("split = 'test'")
     test, seed, syn = (t.where(f"corpus = '{x}'") for x in ("test", "seed", "syn"))
     facts = C.coverage_facts(test, seed, syn).join(C.implicit_flags(test, seed), ["lang", "id"])
     return flips.join(facts.withColumnRenamed("id", "example_id"), ["lang", "example_id"])
@@ -202,7 +204,7 @@ def coverage_facts(spark, d):
     return C.coverage_facts(t.where("corpus = 'test'"), t.where("corpus = 'seed'"), t.where("corpus = 'syn'"))
 
 
-_FF = f"(SELECT f.*, k.ncov, k.oov_seed, i.implicit FROM {_FLIPS} f JOIN {_FACTS} k ON k.id = f.example_id JOIN {_IMPLICIT} i ON i.id = f.example_id WHERE f.split = 'test' AND f.seed = 42)"
+_FF = f"(SELECT f.*, k.ncov, k.oov_seed, i.implicit FROM {_FLIPS} f JOIN {_FACTS} k ON k.id = f.example_id JOIN {_IMPLICIT} i ON i.id = f.example_id WHERE f.split = 'test')"
 
 
 @query("fix_rate_by_coverage", sql("tok voc pred", f"""SELECT ncov > 0 AS has_new_words, count(*) AS n, avg(CAST(aug_ok AS INTEGER)) AS fix_rate FROM {_FF} WHERE NOT base_ok GROUP BY ALL""", "fix_rate"))
