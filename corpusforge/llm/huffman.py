@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ STEP = 256
 #: A block is closed once it has so many token ids.
 BLOCK_IDS = 1 << 16
 #: Words remembered per worker.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -119,15 +120,15 @@ def unpack(payloads: list[bytes], counts: np.ndarray, marks: list[np.ndarray], t
     return out
 
 
-_SPACED = re.compile(r"[^ \t\n\r]+")
-_ENDED = re.compile(r"([A-Za-z]+)([.,!?;:]+)")
+#: Words without ASCII white space, cut before marks that follow a letter: the tokenizer never has both in one word.
+_WORD = re.compile(r"[^ \t\n\r](?:[^ \t\n\r.,!?;:]+|(?<![A-Za-z])[.,!?;:])*")
 _TOKENIZERS: dict[int, _Encoder] = {}
 
 
 class _Encoder:
     """A tokenizer with a memory of words; ids come as little-endian bytes of ``width``.
 
-    Text is cut at ASCII white space, which the tokenizer drops before it cuts words: each word stands alone.
+    Text is cut at ASCII white space, which the tokenizer drops before it cuts words, and where ``_WORD`` says: each part stands alone.
     """
 
     def __init__(self, model: bytes, width: int):
@@ -135,38 +136,49 @@ class _Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_str(model.decode())
+        self.whole = Tokenizer.from_str(model.decode())
+        self.plain = Tokenizer.from_str(model.decode())  # for ASCII letters in lower case, which its first steps leave alone
+        self.plain.normalizer = self.plain.pre_tokenizer = None
+        self.lowers = self.whole.encode_batch(["Aa"], add_special_tokens=False)[0].ids == self.whole.encode_batch(["aa"], add_special_tokens=False)[0].ids
         self.kind = f"<u{width}"
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        parts = {p for w in words for p in self._cut(w)}
-        new = [p for p in parts if p not in self.parts]
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.parts[p] = np.array(e.ids, self.kind).tobytes()
-        for w in words:
-            self.words[w] = b"".join([self.parts[p] for p in self._cut(w)])
-
-    @staticmethod
-    def _cut(word: str) -> tuple[str, ...]:
-        m = _ENDED.fullmatch(word)  # a letter and such a mark are never in one word of the tokenizer
-        return m.groups() if m else (word,)
+        self.known, self.rows = _Numbers(), []
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        easy = [w.isascii() and w.isalpha() and self.lowers for w in words]
+        got = [iter(t.encode_batch_fast(some, add_special_tokens=False)) for t, some in (
+            (self.plain, [w.lower() for w, e in zip(words, easy) if e]), (self.whole, [w for w, e in zip(words, easy) if not e]))]
+        ids = [next(got[0 if e else 1]).ids for e in easy]
+        raw = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
+        stop = (np.cumsum([0, *map(len, ids)]) * np.dtype(self.kind).itemsize).tolist()
+        return [raw[a:e] for a, e in pairwise(stop)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for i in range(0, len(texts), 200):
-            if len(self.words) >= CACHE:
-                self.words.clear()
-                self.parts.clear()
-            cut = [_SPACED.findall(t) if t else [] for t in texts[i:i + 200]]
-            new = {w for words in cut for w in words if w not in self.words}
-            if new:
-                self._learn(list(new))
-            out += [b"".join(map(self.words.__getitem__, words)) for words in cut]
+            if len(self.rows) >= CACHE:
+                self.known, self.rows = _Numbers(), []
+            numbers = [list(map(self.known.__getitem__, _WORD.findall(t))) if t else [] for t in texts[i:i + 200]]
+            self.rows += self._learn(self.known.take())
+            out += [b"".join(map(self.rows.__getitem__, n)) for n in numbers]
         return out
 
 
+class _Numbers(dict):
+    """A number for each word, in order of first sight; ``take`` gives the words since the last call."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def take(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
 def token_ids(docs: DataFrame, model: bytes, end_id: int, doc_id: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
     """``doc``, ``n`` and ``ids`` (bytes of ``width`` each) of every whole text with ``end_id`` at its end (null: only that)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
