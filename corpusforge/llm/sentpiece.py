@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 BLANK = "▁"
 _NEVER = 1 << 30
 #: Words remembered per worker and key; when full, the memory starts anew.
-CACHE = 250_000
+CACHE = 80_000
 
 
 @dataclass
