@@ -69,3 +69,40 @@ def test_edges(spark):
     for r in back:
         assert r["n_tokens"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
     assert sentpiece.encode_table(df.where("false"), sentpiece.model_path()).count() == 0
+
+
+def test_every_occurrence_draws_anew(spark):
+    v = sentpiece.load(sentpiece.model_path())
+    word, n = " internationalization", 300
+    df = spark.createDataFrame([(d, word * n) for d in range(40)], "doc_id long, text string").repartition(4)
+    rows = sentpiece.encode_table(df, sentpiece.model_path(), 0.1, 17).collect()
+    assert len({tuple(r["ids"]) for r in rows}) == 40
+    seen = [set() for _ in rows]
+    for r, s in zip(rows, seen):
+        one, left = [], word
+        for i in r["ids"]:
+            one.append(i)
+            left = left[len(v.pieces[i].decode()):]
+            if not left:
+                s.add(tuple(one))
+                one, left = [], word
+        assert not one
+    assert min(map(len, seen)) > 10 and len(set.union(*seen)) > 2 * max(map(len, seen))
+
+
+def test_remembered_draws_are_the_same(spark, monkeypatch):
+    v = sentpiece.load(sentpiece.model_path())
+    texts = [t for _, t in docs_of(spark)][:40] * 2 + TEXTS
+    seeds = [7 + i // 3 for i in range(len(texts))]
+    for dropout in (0.1, 0.5, 1.0):
+        limit = int(dropout * (1 << 32))
+        want = []
+        for t, s in zip(texts, seeds):
+            units = sentpiece._units(t, v)
+            keys = sentpiece._keys(np.uint64(s), np.arange(len(units)))
+            want.append([i for u, k in zip(units, keys.tolist()) for i in (sentpiece._merge(u, v, limit, k) if u else sentpiece._literal(v))])
+        for cache in (80_000, 50):
+            monkeypatch.setattr(sentpiece, "CACHE", cache)
+            v.known.clear()
+            assert sentpiece.encode_many(texts, v, dropout, seeds) == want
+            assert sentpiece.encode_many(texts[::-1], v, dropout, seeds[::-1]) == want[::-1]
