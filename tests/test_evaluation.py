@@ -106,3 +106,23 @@ def test_chain_over_correction(spark):
     log = testbed.outcome_log(spark, SF)
     r = outcomes.retry_chains(log).agg(F.sum("attempts_1"), F.sum("attempts_2"), F.sum("attempts_3"), F.sum("chains")).first()
     assert r[0] + r[1] + r[2] == r[3] == log.select("target_lang", "seed_id", "plan_id").distinct().count()
+
+
+def test_training_queries_are_whole(spark, monkeypatch):
+    from corpusforge.catalog import QUERIES
+    from corpusforge.operators import training
+
+    used, fit = [], training.train_classifier
+
+    def spy(train, params=None):
+        used.append({**training.DEFAULTS, **(params or {})})
+        return fit(train, {**(params or {}), "features": 64, "iterations": 1})
+
+    monkeypatch.setattr(training, "train_classifier", spy)
+    langs = {"de", "en", "es", "fr"}
+    got = QUERIES["sweep"](spark, SF).select("config", "seed", "lang").collect()
+    assert len(got) == len(set(got)) == len(used) == 2 * 5 * 4
+    assert {r["lang"] for r in got} == langs and {r["seed"] for r in got} == {r[0] for r in testbed.predictions(spark, SF).select("seed").distinct().collect()}
+    for name in ("train_per_language", "train_pooled"):
+        assert {r["lang"] for r in QUERIES[name](spark, SF).select("lang").collect()} == langs
+    assert {(u["features"], u["iterations"]) for u in used} == {(training.DEFAULTS["features"], training.DEFAULTS["iterations"])}
