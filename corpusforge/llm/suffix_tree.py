@@ -17,13 +17,14 @@ from .tables import materialize
 GROUP, HOT = 8_000, 16_000
 
 
-def suffixes(contexts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted suffixes of ``size`` words or more: context, place, length, and common words with the one before."""
+def suffixes(contexts: list[bytes], size: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted suffixes of ``size`` words or more (``whole``: only the contexts themselves): context, place, length, and common words with
+    the one before."""
     words = [c.split(b" ") for c in contexts]
     lengths = np.array([len(w) for w in words], np.int64)
     number: dict[bytes, int] = {}
     flat = np.array([number.setdefault(x, len(number)) for w in words for x in w], np.int32)
-    n = lengths - size + 1
+    n = np.ones_like(lengths) if whole else lengths - size + 1
     owner = np.repeat(np.arange(len(words)), n)
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     left = lengths[owner] - place
@@ -106,29 +107,55 @@ def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
     return hits.select("doc", "t", (F.col("start") + F.col("i")).alias("s"), (F.col("start") + F.col("j") + size).alias("e"))
 
 
+def _hot_suffixes(ctx: DataFrame, size: int) -> DataFrame:
+    """Suffixes (``ctx`` from word ``i`` on) of the contexts of anchors with very many, with the prefix of ``size`` words that parts
+    them (``window``: with anchor and place). Only prefixes that stand several times stay."""
+    one = ctx.withColumn("words", F.split(F.decode("ctx", "utf-8"), " "))
+    one = one.select("h", "cd", "off", "words", F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("i"))
+    prefix = F.md5(F.array_join(F.slice("words", F.col("i") + 1, F.lit(size)), " ").cast("binary"))
+    one = one.select("h", "cd", "i", F.concat_ws(".", "h", F.col("off") - F.col("i"), prefix).alias("window"),
+                     F.array_join(F.slice("words", F.col("i") + 1, F.size("words")), " ").cast("binary").alias("ctx"))
+    one = materialize(one)
+    return one.join(one.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window"), "window", "left_semi")
+
+
 def repeats(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Deep internal nodes as repeats within the contexts of one anchor: ``repeat``, ``length`` (words), id and ``start`` of each occurrence.
 
-    Repeats that reach over several contexts come as overlapping ones; a context that stands several times is one too.
+    Repeats that reach over several contexts come as overlapping ones; a context that stands several times is one too. Anchors with very
+    many contexts are parted by place and first ``size`` words, with one subtree each; a deep node lies in one of them.
     """
     docs = keyed(docs, doc_id, text)
     found = candidates(docs, Spaced(size))
-    items = found.select("h", "cd", "ctx").dropDuplicates(["h", "cd"])
-    held = found.groupBy("h", "cd").agg(F.sum("held").alias("held"), F.first("n").alias("n"))
-
-    def work(table: pa.Table) -> pa.Table:
-        owner, place, _, common = suffixes(table.column("ctx").to_pylist(), size)
-        h, cd = table.column("h").to_numpy(), table.column("cd").to_numpy()
-        out = [(f"{h[owner[a]]}.{depth}.{k}", depth, owner[i], place[i]) for k, (depth, a, b, _) in enumerate(deep_nodes(common, size)) for i in range(a, b + 1)]
-        ids, depths, own, at = (list(x) for x in zip(*out)) if out else ([], [], [], [])
-        own = np.array(own, np.int64)
-        return pa.table({"repeat": pa.array(ids, pa.string()), "length": pa.array(depths, pa.int32()), "h": pa.array(h[own]), "cd": pa.array(cd[own]),
-                         "i": pa.array(at, pa.int32())})
-
-    groups = max(1, -(-items.count() // GROUP))
-    nodes = items.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(groups))).groupBy("bucket").applyInArrow(work, "repeat string, length int, h long, cd long, i int")
+    held = materialize(found.groupBy("h", "cd").agg(F.sum("held").alias("held"), F.first("n").alias("n")))
+    several = materialize(held.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    items = materialize(items_of(found, several))
+
+    def nodes(rows: DataFrame, key: str, whole: bool) -> DataFrame:
+        """Deep nodes over the suffixes of ``ctx`` (``whole``: over ``ctx`` itself, which starts at ``i``); ``key`` parts them."""
+
+        def work(table: pa.Table) -> pa.Table:
+            owner, place, _, common = suffixes(table.column("ctx").to_pylist(), size, whole)
+            place = place + table.column("i").to_numpy()[owner]
+            got = np.array([x[:3] for x in deep_nodes(common, size)], np.int64).reshape(-1, 3)
+            depth, first, last = got.T
+            part = table.column(key).take(pa.array(owner[first])).to_pylist()
+            names = pa.array([f"{x}.{d}.{k}" for k, (x, d) in enumerate(zip(part, depth.tolist()))], pa.string())
+            n = last - first + 1
+            node = np.repeat(np.arange(n.size), n)
+            leaf = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[node]
+            own = pa.array(owner[leaf])
+            return pa.table({"repeat": names.take(pa.array(node)), "length": pa.array(depth[node].astype(np.int32)), "h": table.column("h").take(own),
+                             "cd": table.column("cd").take(own), "i": pa.array(place[leaf].astype(np.int32))})
+
+        groups = max(1, -(-rows.count() // GROUP))
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(groups))).select("bucket", "h", "cd", "i", "ctx", *({key} - {"h"}))
+        return rows.groupBy("bucket").applyInArrow(work, "repeat string, length int, h long, cd long, i int")
+
+    few, many = items.where(F.col("kinds") <= HOT), items.where(F.col("kinds") > HOT)
+    trees = nodes(few.withColumn("i", F.lit(0)), "h", False).unionByName(nodes(_hot_suffixes(many, size), "window", True))
     copies = held.where("held > 1").select(F.concat_ws(".", F.lit("copy"), "h", "cd").alias("repeat"), (F.col("n") + size - 1).cast("int").alias("length"), "h", "cd", F.lit(0).alias("i"))
-    return occurrences(found, nodes.unionByName(copies), "repeat", "length", "i").select(
+    return occurrences(found, trees.unionByName(copies), "repeat", "length", "i").select(
         "repeat", "length", F.col("doc").alias(doc_id), (F.col("start") + F.col("i")).alias("start"))
 
 

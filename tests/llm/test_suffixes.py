@@ -112,3 +112,22 @@ def test_repeat_groups(spark):
     for r in suffix_tree.repeats(df, 6).collect():
         groups[r["repeat"]].add(tuple(words[r["doc_id"]][r["start"]:r["start"] + r["length"]]))
     assert groups and all(len(g) == 1 for g in groups.values())
+
+
+def grouped(rows):
+    groups = defaultdict(set)
+    for r in rows:
+        groups[r["repeat"], r["length"]].add((r["doc_id"], r["start"]))
+    return sorted((n, sorted(g)) for (_, n), g in groups.items())
+
+
+def test_hot_repeats(spark, monkeypatch):
+    df = spark.createDataFrame(made(5, 40), "doc_id long, text string")
+    want = grouped(suffix_tree.repeats(df, 6).collect())
+    taken, hot = [], suffix_tree._hot_suffixes
+    monkeypatch.setattr(suffix_tree, "_hot_suffixes", lambda ctx, size: taken.append(ctx.count()) or hot(ctx, size))
+    for group in (8_000, 20):
+        monkeypatch.setattr(suffix_tree, "HOT", 3)
+        monkeypatch.setattr(suffix_tree, "GROUP", group)
+        assert grouped(suffix_tree.repeats(df, 6).collect()) == want
+    assert len(want) > 20 and max(n for n, _ in want) > 6 and min(taken) > 3
