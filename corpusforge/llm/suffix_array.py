@@ -87,9 +87,9 @@ def _scan(contexts: list[bytes], size: int):
     return at, owner, begin, data.size, list(intervals(common, left, size))
 
 
-def _bucketed(ctx: DataFrame) -> DataFrame:
+def _bucketed(ctx: DataFrame, key: str = "h") -> DataFrame:
     groups = max(1, -(-ctx.count() // GROUP))
-    return ctx.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(groups)))
+    return ctx.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(groups)))
 
 
 def _cover(ctx: DataFrame, size: int) -> DataFrame:
@@ -148,12 +148,39 @@ def repeated_stretches(docs: DataFrame, size: int) -> DataFrame:
     return occurrences(found, ranges, "s", "e").select("doc", "t", (F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e"))
 
 
+_GROUPS = "repeat string, length int, h long, cd long, s int"
+
+
+def _groups(table: pa.Table, part, owner: np.ndarray, place: np.ndarray, found: list[tuple[int, int, int]]) -> pa.Table:
+    """Occurrences of intervals over suffixes (``owner``: row of the table), named by what parts them."""
+    length, first, last = np.array(found, np.int64).reshape(-1, 3).T
+    part = part.take(pa.array(owner[first])).to_pylist()
+    names = pa.array([f"{x}.{n}.{k}" for k, (x, n) in enumerate(zip(part, length.tolist()))], pa.string())
+    n = last - first + 1
+    group = np.repeat(np.arange(n.size), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[group]
+    rows = pa.array(owner[at])
+    return pa.table({"repeat": names.take(pa.array(group)), "length": pa.array(length[group].astype(np.int32)), "h": table.column("h").take(rows),
+                     "cd": table.column("cd").take(rows), "s": pa.array(place[at].astype(np.int32))})
+
+
+def _hot_suffixes(ctx: DataFrame, size: int) -> DataFrame:
+    """Suffixes (``tail``, from byte ``s`` on, with the byte ``before``; -1: none) of the contexts of anchors with very many, with the prefix
+    of ``size`` bytes that parts them (``window``: with anchor and place). Only prefixes that stand several times stay."""
+    one = ctx.select("h", "cd", "off", "ctx", F.explode(F.sequence(F.lit(0), F.octet_length("ctx") - size)).alias("s"))
+    before = F.when(F.col("s") > 0, F.conv(F.hex(F.expr("substring(ctx, s, 1)")), 16, 10).cast("int")).otherwise(-1)
+    one = one.select("h", "cd", "s", F.concat_ws(".", "h", F.col("off") - F.col("s"), F.md5(F.expr(f"substring(ctx, s + 1, {size})"))).alias("window"),
+                     before.alias("before"), F.expr("substring(ctx, s + 1)").alias("tail"))
+    one = materialize(one)
+    return one.join(one.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window"), "window", "left_semi")
+
+
 def maximal_repeats(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Maximal repeat groups with all their occurrences: ``repeat``, ``length``, id, ``start`` (bytes).
 
     A group is a left-diverse common-prefix interval of the suffix array of the contexts of one anchor (at most about twice ``size``
-    bytes long, so a longer repeat comes as a chain of overlapping groups), or a context that stands several times. Anchors with very many contexts
-    give groups of ``size`` bytes.
+    bytes long, so a longer repeat comes as a chain of overlapping groups), or a context that stands several times. Anchors with very many
+    contexts are parted by place and first ``size`` bytes, with one suffix array each; an interval lies in one of them.
     """
     docs = keyed(docs, doc_id, text)
     found = candidates(docs, Bytes(size))
@@ -161,16 +188,18 @@ def maximal_repeats(docs: DataFrame, size: int, doc_id: str = "doc_id", text: st
 
     def work(table: pa.Table) -> pa.Table:
         at, owner, begin, _, got = _scan(table.column("ctx").to_pylist(), size)
-        h, cd = table.column("h").to_numpy(), table.column("cd").to_numpy()
-        out = [(f"{h[owner[a]]:x}.{length}.{h[owner[a]]}.{k}", length, owner[i], at[i] - begin[owner[i]]) for k, (length, a, b) in enumerate(got) for i in range(a, b + 1)]
-        ids, lengths, own, place = (list(x) for x in zip(*out)) if out else ([], [], [], [])
-        own = np.array(own, np.int64)
-        return pa.table({"repeat": pa.array(ids, pa.string()), "length": pa.array(lengths, pa.int32()), "h": pa.array(h[own]), "cd": pa.array(cd[own]),
-                         "s": pa.array(place, pa.int32())})
-
-    groups = _bucketed(few).groupBy("bucket").applyInArrow(work, "repeat string, length int, h long, cd long, s int")
-    hot = _cover_hot(many, size).join(many.select("h", "cd", "off", "ctx"), ["h", "cd"]).select(
-        F.concat_ws(".", "h", F.col("off") - F.col("s"), F.md5(F.expr(f"substring(ctx, s + 1, {size})"))).alias("repeat"), F.lit(size).alias("length"), "h", "cd", "s")
+        return _groups(table, table.column("h"), owner, at - begin[owner], got)
+
+    def work_hot(table: pa.Table) -> pa.Table:
+        tails = table.column("tail").to_pylist()
+        lengths = np.array([len(x) for x in tails], np.int64)
+        stop = np.cumsum(lengths)
+        order, common = suffix_order(np.frombuffer(b"".join(tails), np.uint8), stop - lengths, stop, size)
+        left = table.column("before").to_numpy().astype(np.int64)[order]
+        return _groups(table, table.column("window"), order, table.column("s").to_numpy()[order], list(intervals(common, left, size)))
+
+    groups = _bucketed(few).groupBy("bucket").applyInArrow(work, _GROUPS)
+    hot = _bucketed(_hot_suffixes(many, size), "window").groupBy("bucket").applyInArrow(work_hot, _GROUPS)
     copies = folded.where("held > 1").select(F.concat_ws(".", F.lit("copy"), "h", "cd").alias("repeat"), (F.col("n") + size - 1).cast("int").alias("length"),
                                              "h", "cd", F.lit(0).alias("s"))
     every = groups.unionByName(hot).unionByName(copies)

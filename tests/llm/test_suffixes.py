@@ -131,3 +131,15 @@ def test_hot_repeats(spark, monkeypatch):
         monkeypatch.setattr(suffix_tree, "GROUP", group)
         assert grouped(suffix_tree.repeats(df, 6).collect()) == want
     assert len(want) > 20 and max(n for n, _ in want) > 6 and min(taken) > 3
+
+
+def test_hot_maximal_repeats(spark, monkeypatch):
+    df = spark.createDataFrame(made(5, 40), "doc_id long, text string")
+    want = grouped(suffix_array.maximal_repeats(df, 60).collect())
+    taken, hot = [], suffix_array._hot_suffixes
+    monkeypatch.setattr(suffix_array, "_hot_suffixes", lambda ctx, size: taken.append(ctx.count()) or hot(ctx, size))
+    for group in (4_000, 20):
+        monkeypatch.setattr(suffix_array, "HOT", 3)
+        monkeypatch.setattr(suffix_array, "GROUP", group)
+        assert grouped(suffix_array.maximal_repeats(df, 60).collect()) == want
+    assert len(want) > 20 and max(n for n, _ in want) > 60 and min(taken) > 3
