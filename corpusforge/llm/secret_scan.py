@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import materialize
+
 # The base patterns, with the least length of their value.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -59,10 +61,14 @@ def _free(spans, start: int, end: int) -> bool:
     return all(end <= s[0] or start >= s[2] for s in spans)
 
 
+def _values(text: str, spans) -> list[str]:
+    return [t for s in spans for t in CANDIDATE.findall(text[s[3]:s[2]])]
+
+
 def labelled(text: str) -> tuple[list[str], list[str]]:
     """Samples for the models: values of base matches (random), and other unbroken strings (ordinary)."""
     spans = base_spans(text)
-    random = [t for s in spans for t in CANDIDATE.findall(text[s[3]:s[2]])]
+    random = _values(text, spans)
     ordinary = [m[0] for m in _IDENTIFIER.finditer(text) if _free(spans, m.start(), m.end())]
     return random, ordinary
 
@@ -104,24 +110,31 @@ def fit(samples: DataFrame, token: str = "token", random: str = "random", **limi
     return Model((p[0] - p[1]).ravel(), **limits)
 
 
-def samples(df: DataFrame, text: str = "text", max_rows: int = 20_000) -> DataFrame:
+def samples(df: DataFrame, text: str = "text", max_rows: int = 20_000, max_random: int = 20_000) -> DataFrame:
     """Labelled samples out of texts, labelled by the base patterns.
 
-    The classifier is fitted on a bounded sample: of more than ``max_rows`` texts, about ``max_rows`` with the smallest hashes.
+    Each class is bounded by itself. Random strings come from all texts: of more than ``max_random``, about so many with the smallest
+    hashes. Ordinary ones come from a sample of texts: of more than ``max_rows``, about so many with the smallest hashes.
     """
     rows = df.select(F.col(text).alias("text")).where("text IS NOT NULL")
     total = rows.count()
-    if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * max_rows / total))
+    rows = rows.withColumn("both", _least("text", max_rows, total))
 
     def take(batches):
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                random, ordinary = labelled(t)
-                yield pa.RecordBatch.from_pydict({"random": pa.array([True] * len(random) + [False] * len(ordinary), pa.bool_()),
-                                                  "token": pa.array(random + ordinary, pa.string())})
+            for t, both in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                random, ordinary = labelled(t) if both else (_values(t, base_spans(t)), [])
+                if random or ordinary:
+                    yield pa.RecordBatch.from_pydict({"random": pa.array([True] * len(random) + [False] * len(ordinary), pa.bool_()),
+                                                      "token": pa.array(random + ordinary, pa.string())})
+
+    found = materialize(rows.mapInArrow(take, "random boolean, token string"))
+    return found.where(~F.col("random") | _least("token", max_random, found.where("random").count()))
+
 
-    return rows.mapInArrow(take, "random boolean, token string")
+def _least(column: str, most: int, total: int) -> Column:
+    """Whether a row is among about ``most`` of ``total`` with the smallest hashes."""
+    return F.lit(True) if total <= most else F.pmod(F.xxhash64(column), F.lit(1_000_003)) < int(1_000_003 * most / total)
 
 
 def find(text: str, model: Model) -> list[tuple[int, int, int]]:

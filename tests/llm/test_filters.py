@@ -102,3 +102,16 @@ def test_decontaminate_edges(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert decontam.decontaminate(d.where("false"), b).count() == 0
     assert {r["n_hit"] for r in decontam.decontaminate(d, b.where("false")).collect()} == {0}
+
+
+def test_rare_secrets_are_samples(spark):
+    texts = [f"ordinary_words number{i} and configuration_values" for i in range(400)]
+    for i in (7, 99, 250):
+        texts[i] += f" password = Xk{i}vQ81zLmT0pRw9aBc"
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = secret_scan.samples(df, max_rows=20)
+    assert sorted(r["token"] for r in got.where("random").collect()) == sorted(f"Xk{i}vQ81zLmT0pRw9aBc" for i in (7, 99, 250))
+    assert 0 < got.where("NOT random").count() < 400
+    assert secret_scan.fit(got).ratio is not None
+    many = spark.createDataFrame([(f"password = Xk{i}vQ81zLmT0pRw9aBc",) for i in range(1000)], "text string")
+    assert 20 < secret_scan.samples(many, max_random=100).where("random").count() < 300
