@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship
-from . import decontam, huffman, jaccard, langid, maxscore, secret_scan, sentpiece, suffix_array, suffix_tree, warc
+from . import decontam, huffman, jaccard, langid, maxscore, secret_scan, sentpiece, suffix_array, suffix_tree, token_counts, warc
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,13 @@ def op8_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document outside strings of 200 bytes that stand anywhere else."""
     return suffix_array.remove_repeats(read(spark, sf_dir, "documents"), size=200)
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document, counted by the transducer of the model."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), model, limit=4096)
