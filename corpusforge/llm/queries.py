@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship
-from . import decontam, huffman, jaccard, langid, maxscore, secret_scan, sentpiece, suffix_array, suffix_tree, token_counts, warc
+from . import comparison, decontam, huffman, jaccard, langid, lexical, maxscore, merkle, secret_scan, sentpiece, suffix_array, suffix_tree, token_counts, warc
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,15 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), model, limit=4096)
+
+
+@query("op12_merkle_manifest", comparison.MERKLE)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document against the root of the manifest, some of them lower-cased after the fact."""
+    return merkle.document_manifest(read(spark, sf_dir, "documents"))
+
+
+@query("op13_lexical_search", comparison.LEXICAL)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
