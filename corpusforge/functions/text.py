@@ -76,9 +76,9 @@ def norm_hard(col) -> Column:
 
 def char_trigrams_of(norm: Column) -> Column:
     """Distinct trigrams of a normalized string; a shorter string is its own only member."""
-    chars = F.filter(F.split(norm, ""), lambda x: x != "")
-    return bind(chars, lambda x: F.when(F.size(x) >= 3, F.array_distinct(_joined(x, 3, "")))
-                .when(F.size(x) > 0, F.array(F.array_join(x, ""))).otherwise(F.array().cast("array<string>")))
+    # an empty match at every place, with the three characters that follow
+    return F.when(F.length(norm) >= 3, F.array_distinct(F.regexp_extract_all(norm, F.lit("(?=(...))"), F.lit(1)))) \
+        .when(F.length(norm) > 0, F.array(norm)).otherwise(F.array().cast("array<string>"))
 
 
 def char_trigrams(col) -> Column:
@@ -110,6 +110,14 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def edit_ratio_above(a: Column, b: Column, low: Column) -> Column:
+    """``edit_ratio`` where it is ``low`` or more, else null: the distance is only looked for within the edits that leave."""
+    longest = F.greatest(F.length(a), F.length(b))
+    limit = F.floor((1 - low) * longest + 1e-9).cast("int")
+    found = F.call_function("levenshtein", a, b, limit)
+    return F.when(longest == 0, F.lit(1.0)).when(found >= 0, 1 - found / longest)
+
+
 def sequence_ratio(a: Column, b: Column) -> Column:
     """Matching-block ratio of Python's ``difflib``, for candidate pairs only."""
     @F.pandas_udf("double")
@@ -153,8 +161,3 @@ def reason_prefix(col, n: int = 120) -> Column:
 def lang_name(col) -> Column:
     pairs = [F.lit(x) for kv in LANG_NAMES.items() for x in kv]
     return F.try_element_at(F.create_map(*pairs), _c(col))
-
-
-def has_marker(tokens_col: Column, markers_col: Column) -> Column:
-    """True when any token is among the markers (explicit text)."""
-    return F.arrays_overlap(tokens_col, markers_col)

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import TIER1_MIN, TIER2_MIN, TRIGRAM_BLOCK
-from ..functions.text import char_trigrams_of, norm_hard, sequence_ratio
-from ..session import join_on
-from .similarity import candidates, rare_first, verified
+from ..functions.text import char_trigrams_of, edit_ratio, edit_ratio_above, norm_hard, sequence_ratio
+from ..session import join_on, materialize
+from .similarity import in_blocks, pairs_above
 
 
 def leakage_filter(rows: DataFrame, target: DataFrame, ratio: Callable[[Column, Column], Column] = sequence_ratio,
@@ -26,19 +26,9 @@ def leakage_filter(rows: DataFrame, target: DataFrame, ratio: Callable[[Column,
         "hk", F.sha2("h", 256))
     exact = normed.select("hk").distinct().join(held.select("hk"), "hk", "left_semi").withColumn("is_exact", F.lit(True))
     mine = normed.dropDuplicates(["hk"]).join(exact, "hk", "left_anti").select("hk", "h")
-    both = mine.select(F.struct(F.lit(0).alias("side"), "hk").alias("ord"), "h").unionByName(
-        held.select(F.struct(F.lit(1).alias("side"), "hk").alias("ord"), "h"))
-    sets = both.select("ord", char_trigrams_of(F.col("h")).alias("grams")).where(F.size("grams") > 0)
-    ranked = rare_first(sets.withColumns({"key": F.col("ord.hk"), "copies": F.lit(1)}), [])
-    left, right = ranked.where("ord.side = 0"), ranked.where("ord.side = 1")
-    pairs = verified(candidates(left, right, [], block, False), left, right, [], block)
-    best = (
-        pairs.select(F.col("a.hk").alias("hk"), F.col("b.hk").alias("bk"))
-        .join(mine.withColumnRenamed("h", "ha"), "hk")
-        .join(held.select(F.col("hk").alias("bk"), F.col("h").alias("hb")), "bk")
-        .select("hk", ratio(F.col("ha"), F.col("hb")).alias("r"))
-        .groupBy("hk").agg(F.max("r").alias("best"))
-    )
+    left, right = _sets(mine), _sets(held)
+    pairs = in_blocks(left, right, ["all"], pairs_above(block), "a long, b long, shared long")
+    best = _best_ratio(pairs, left, right, ratio)
     verdicts = exact.withColumn("best", F.lit(None).cast("double")).unionByName(
         best.withColumn("is_exact", F.lit(False)))
     tier = (
@@ -51,6 +41,36 @@ def leakage_filter(rows: DataFrame, target: DataFrame, ratio: Callable[[Column,
     return join_on(rows, judged, [key])
 
 
+def _sets(texts: DataFrame) -> DataFrame:
+    """Written texts with their trigrams as hashes; texts without any meet nothing."""
+    grams = F.array_distinct(F.transform(char_trigrams_of(F.col("h")), lambda g: F.xxhash64(g)))
+    sets = texts.select(F.lit(0).alias("all"), "hk", "h", grams.alias("hashes")).where(F.size("hashes") > 0)
+    return materialize(sets.withColumn("rid", F.monotonically_increasing_id()))
+
+
+def _best_ratio(pairs: DataFrame, left: DataFrame, right: DataFrame, ratio) -> DataFrame:
+    """(hk, best): largest ratio of each left text.
+
+    An edit changes at most three trigrams and the length by one, so the trigrams that a pair does not share and its lengths bound the ratio from
+    above. The pair of the highest bound is compared first, and the others only if their bound is above what it reached.
+    """
+    side = lambda df, i, h: df.select(F.col("rid").alias(i), *([F.col("hk")] if i == "a" else []), F.col("h").alias(h), F.size("hashes").alias(f"n{i}"))
+    longest = F.greatest(F.length("ha"), F.length("hb"))
+    lost = F.ceil((F.greatest("na", "nb") - F.col("shared")) / 3)
+    edits = F.greatest(lost, F.abs(F.length("ha") - F.length("hb")))
+    # both ratios: a matching-block ratio with e insertions and deletions is 1 - e / (both lengths), and e is at least as bounded
+    bound = F.least(1 - F.greatest(lost, F.lit(0)) / (F.length("ha") + F.length("hb")), F.lit(1.0)) if ratio is not edit_ratio else 1 - edits / longest
+    both = materialize(pairs.join(side(left, "a", "ha"), "a").join(side(right, "b", "hb"), "b").select("hk", "b", "ha", "hb", bound.alias("bound")))
+    first = both.groupBy("hk").agg(F.max_by(F.struct("b", "ha", "hb"), F.struct("bound", "b")).alias("p"))
+    reached = materialize(first.select("hk", F.col("p.b").alias("b"), ratio(F.col("p.ha"), F.col("p.hb")).alias("r")))
+    rest = both.join(reached.withColumnsRenamed({"b": "_b", "r": "low"}), "hk").where("b <> _b AND bound > low")
+    if ratio is edit_ratio:
+        rest = rest.select("hk", edit_ratio_above(F.col("ha"), F.col("hb"), F.col("low")).alias("r"))
+    else:
+        rest = rest.select("hk", ratio(F.col("ha"), F.col("hb")).alias("r"))
+    return reached.select("hk", "r").unionByName(rest).groupBy("hk").agg(F.max("r").alias("best"))
+
+
 def leakage_stats(judged: DataFrame) -> DataFrame:
     """Counts per tier and in total."""
     t = F.col("tier")
