@@ -132,25 +132,26 @@ def implicit_errors(spark, d):
 
 def _with_text(spark, d):
     t = _texts(spark, d).select(F.col("id").alias("example_id"), "text")
-    return _pred(spark, d).where("split = 'test' AND seed = 42 AND model = 'aug'").join(t, "example_id")
+    return _pred(spark, d).where("split = 'test'").join(t, "example_id")
 
 
-_LEN = "(SELECT p.lang, w.wc, p.pred_label <> 'neutral' AS wrong FROM pred p JOIN wlen w ON w.id = p.example_id WHERE p.split = 'test' AND p.seed = 42 AND p.model = 'aug' AND p.true_label = 'neutral')"
+_LEN = "(SELECT p.model, p.seed, p.lang, w.wc, p.pred_label <> 'neutral' AS wrong FROM pred p JOIN wlen w ON w.id = p.example_id WHERE p.split = 'test' AND p.true_label = 'neutral')"
 
 
-@query("length_errors", sql("pred wlen", f"""SELECT lang, count(*) FILTER (wrong) AS wrong_n, coalesce(avg(wc) FILTER (wrong), 0) AS wrong_mean,
+@query("length_errors", sql("pred wlen", f"""SELECT model, seed, lang, count(*) FILTER (wrong) AS wrong_n, coalesce(avg(wc) FILTER (wrong), 0) AS wrong_mean,
   count(*) FILTER (NOT wrong) AS right_n, coalesce(avg(wc) FILTER (NOT wrong), 0) AS right_mean FROM {_LEN} GROUP BY ALL""", "wrong_mean right_mean"))
 def length_errors(spark, d):
     return C.length_errors(_with_text(spark, d))
 
 
-@query("mann_whitney", sql("pred wlen", f"""SELECT n1 AS wrong_n, n2 AS right_n, wrong_mean, right_mean, wrong_over30, right_over30, u,
+@query("mann_whitney", sql("pred wlen", f"""SELECT model, seed, n1 AS wrong_n, n2 AS right_n, wrong_mean, right_mean, wrong_over30, right_over30, u,
   (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM (
-  SELECT CAST(count(*) FILTER (wrong) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT wrong) AS DOUBLE) AS n2, avg(wc) FILTER (wrong) AS wrong_mean, avg(wc) FILTER (NOT wrong) AS right_mean,
+  SELECT model, seed, CAST(count(*) FILTER (wrong) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT wrong) AS DOUBLE) AS n2, avg(wc) FILTER (wrong) AS wrong_mean, avg(wc) FILTER (NOT wrong) AS right_mean,
     100.0 * count(*) FILTER (wrong AND wc > 30) / count(*) FILTER (wrong) AS wrong_over30, 100.0 * count(*) FILTER (NOT wrong AND wc > 30) / count(*) FILTER (NOT wrong) AS right_over30,
     CAST(sum(r) FILTER (wrong) - count(*) FILTER (wrong) * (count(*) FILTER (wrong) + 1) / 2.0 AS DOUBLE) AS u,
     CAST(sum((t * t * t - t) * 1.0 / t) AS DOUBLE) AS ties
-  FROM (SELECT wc, wrong, rank() OVER (ORDER BY wc) + (count(*) OVER (PARTITION BY wc) - 1) / 2.0 AS r, CAST(count(*) OVER (PARTITION BY wc) AS DOUBLE) AS t FROM {_LEN}))""",
+  FROM (SELECT model, seed, wc, wrong, rank() OVER (PARTITION BY model, seed ORDER BY wc) + (count(*) OVER (PARTITION BY model, seed, wc) - 1) / 2.0 AS r,
+    CAST(count(*) OVER (PARTITION BY model, seed, wc) AS DOUBLE) AS t FROM {_LEN}) GROUP BY model, seed)""",
   "wrong_n right_n wrong_mean right_mean wrong_over30 right_over30 u z"))
 def mann_whitney(spark, d):
     return C.mann_whitney(_with_text(spark, d)).drop("p_value")

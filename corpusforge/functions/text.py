@@ -83,7 +83,7 @@ def char_trigrams_of(norm: Column) -> Column:
 
 def char_trigrams(col) -> Column:
     """Distinct character trigrams of the hard-normalized text."""
-    return char_trigrams_of(norm_hard(col))
+    return bind(norm_hard(col), char_trigrams_of)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -157,27 +157,27 @@ def implicit_errors(rows: DataFrame, by: list[str]) -> DataFrame:
         "p_value", erfc(F.sqrt(F.col("chi2") / 2)))
 
 
-def length_errors(rows: DataFrame, label: str = "neutral") -> DataFrame:
-    """Words of wrong and right texts of one class per language (rows carry ``text``)."""
+def length_errors(rows: DataFrame, label: str = "neutral", by: tuple[str, ...] = ("model", "seed", "lang")) -> DataFrame:
+    """Words of wrong and right texts of one class per run and language (rows carry ``text``)."""
     worded = rows.where(F.col("true_label") == label).withColumns({
         "wc": word_count("text"), "wrong": F.col("pred_label") != label})
-    return worded.groupBy("lang").agg(
+    return worded.groupBy(*by).agg(
         F.count_if("wrong").alias("wrong_n"), F.coalesce(F.avg(F.when(F.col("wrong"), F.col("wc"))), F.lit(0.0)).alias("wrong_mean"),
         F.count_if(~F.col("wrong")).alias("right_n"), F.coalesce(F.avg(F.when(~F.col("wrong"), F.col("wc"))), F.lit(0.0)).alias("right_mean"))
 
 
-def mann_whitney(rows: DataFrame, label: str = "neutral") -> DataFrame:
-    """Two-sided Mann-Whitney test of word counts, wrong against right, with tie and continuity correction.
+def mann_whitney(rows: DataFrame, label: str = "neutral", by: tuple[str, ...] = ("model", "seed")) -> DataFrame:
+    """Two-sided Mann-Whitney test of word counts per run, wrong against right, with tie and continuity correction.
 
     Only the counts per length enter the rank sums, so ranks are taken over distinct lengths.
     """
     worded = rows.where(F.col("true_label") == label).withColumns({
         "wc": word_count("text"), "wrong": F.col("pred_label") != label})
-    hist = worded.groupBy("wc").agg(F.count_if("wrong").alias("w"), F.count_if(~F.col("wrong")).alias("r"), F.count(F.lit(1)).alias("t"))
-    order = Window.orderBy("wc").rowsBetween(Window.unboundedPreceding, -1)
+    hist = worded.groupBy(*by, "wc").agg(F.count_if("wrong").alias("w"), F.count_if(~F.col("wrong")).alias("r"), F.count(F.lit(1)).alias("t"))
+    order = Window.partitionBy(*by).orderBy("wc").rowsBetween(Window.unboundedPreceding, -1)
     ranked = hist.withColumn("rank", F.coalesce(F.sum("t").over(order), F.lit(0)) + (F.col("t") + 1) / 2)
     t = F.col("t").cast("double")
-    s = ranked.agg(
+    s = ranked.groupBy(*by).agg(
         F.sum("w").cast("double").alias("n1"), F.sum("r").cast("double").alias("n2"), F.sum(F.col("rank") * F.col("w")).alias("r1"),
         F.sum(t * t * t - t).alias("ties"), F.sum(F.col("wc") * F.col("w")).alias("s1"), F.sum(F.col("wc") * F.col("r")).alias("s2"),
         F.sum(F.when(F.col("wc") > 30, F.col("w")).otherwise(0)).alias("w30"), F.sum(F.when(F.col("wc") > 30, F.col("r")).otherwise(0)).alias("r30"))
@@ -187,7 +187,7 @@ def mann_whitney(rows: DataFrame, label: str = "neutral") -> DataFrame:
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1))))
     z = F.try_divide(F.greatest(u1, n1 * n2 - u1) - n1 * n2 / 2 - 0.5, sd)
     return s.select(
-        n1.alias("wrong_n"), n2.alias("right_n"), F.try_divide("s1", n1).alias("wrong_mean"), F.try_divide("s2", n2).alias("right_mean"),
+        *by, n1.alias("wrong_n"), n2.alias("right_n"), F.try_divide("s1", n1).alias("wrong_mean"), F.try_divide("s2", n2).alias("right_mean"),
         pct(F.col("w30"), n1).alias("wrong_over30"), pct(F.col("r30"), n2).alias("right_over30"), u1.alias("u"), z.alias("z"),
         F.least(F.lit(1.0), erfc(F.greatest(z, F.lit(0.0)) / F.sqrt(F.lit(2.0)))).alias("p_value"))
 

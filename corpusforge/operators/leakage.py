@@ -44,8 +44,8 @@ def leakage_filter(rows: DataFrame, target: DataFrame, ratio: Callable[[Column,
 def _sets(texts: DataFrame) -> DataFrame:
     """Written texts with their trigrams as hashes; texts without any meet nothing."""
     grams = F.array_distinct(F.transform(char_trigrams_of(F.col("h")), lambda g: F.xxhash64(g)))
-    sets = texts.select(F.lit(0).alias("all"), "hk", "h", grams.alias("hashes")).where(F.size("hashes") > 0)
-    return materialize(sets.withColumn("rid", F.monotonically_increasing_id()))
+    sets = texts.select(F.lit(0).alias("all"), "hk", "h", grams.alias("hashes"), F.monotonically_increasing_id().alias("rid"))
+    return materialize(sets).where(F.size("hashes") > 0)
 
 
 def _best_ratio(pairs: DataFrame, left: DataFrame, right: DataFrame, ratio) -> DataFrame:

@@ -46,13 +46,6 @@ def id_rank(df: DataFrame, group: list[str], id_col: str, name: str, width: int
     return bucketed_rank(cut, group, ["_bucket"], [id_col], name).drop("_bucket")
 
 
-def hash_rank(df: DataFrame, group: list[str], key: str, seed: int | str, name: str) -> DataFrame:
-    """Position in the repeatable random order of ``key`` and ``seed``."""
-    cut = df.withColumn("_hash", hash_key(key, seed)).withColumn(
-        "_bucket", F.left("_hash", F.lit(HASH_DIGITS)))
-    return bucketed_rank(cut, group, ["_bucket"], ["_hash", key], name).drop("_hash", "_bucket")
-
-
 def take_by_hash(df: DataFrame, group: list[str], quota: Column, key: str, seed: int | str,
                  quotas: DataFrame | None = None) -> DataFrame:
     """The first ``quota`` rows of each group in the repeatable random order.

@@ -11,7 +11,7 @@ from ..constants import BATCH_SIZE
 from ..functions.text import length_bucket
 from ..session import join_on
 from .lengths import bucket_counts, drop_null_text
-from .ranking import hash_key, hash_rank, id_rank, take_by_hash, HASH_DIGITS, bucketed_rank
+from .ranking import hash_key, id_rank, take_by_hash, HASH_DIGITS, bucketed_rank
 
 
 def sample_seeds(corpus: DataFrame, ratio: float | None, seed: int = 42,

@@ -38,7 +38,7 @@ def test_chi_square_and_p(spark):
 def test_mann_whitney(spark):
     wrong, right = [5, 9, 9, 30, 40], [3, 4, 9, 10, 2, 2, 7]
     rows = [("neutral", "negative", " ".join(["w"] * n)) for n in wrong] + [("neutral", "neutral", " ".join(["w"] * n)) for n in right]
-    r = C.mann_whitney(spark.createDataFrame(rows, "true_label string, pred_label string, text string")).first()
+    r = C.mann_whitney(spark.createDataFrame(rows, "true_label string, pred_label string, text string"), by=()).first()
     u = sum((x > y) + 0.5 * (x == y) for x in wrong for y in right)
     both = wrong + right
     n, n1, n2 = len(both), len(wrong), len(right)
