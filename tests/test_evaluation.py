@@ -112,17 +112,29 @@ def test_training_queries_are_whole(spark, monkeypatch):
     from corpusforge.catalog import QUERIES
     from corpusforge.operators import training
 
-    used, fit = [], training.train_classifier
-
-    def spy(train, params=None):
-        used.append({**training.DEFAULTS, **(params or {})})
-        return fit(train, {**(params or {}), "features": 64, "iterations": 1})
-
-    monkeypatch.setattr(training, "train_classifier", spy)
+    used, sizes, fit, featured = [], [], training.fit, training.featured
+    monkeypatch.setattr(training, "fit", lambda rows, seed, params, on: used.append(params) or fit(rows, seed, {**params, "iterations": 1}, on))
+    monkeypatch.setattr(training, "featured", lambda c, n, *splits: sizes.append(n) or featured(c, 64, *splits))
     langs = {"de", "en", "es", "fr"}
     got = QUERIES["sweep"](spark, SF).select("config", "seed", "lang").collect()
     assert len(got) == len(set(got)) == len(used) == 2 * 5 * 4
     assert {r["lang"] for r in got} == langs and {r["seed"] for r in got} == {r[0] for r in testbed.predictions(spark, SF).select("seed").distinct().collect()}
     for name in ("train_per_language", "train_pooled"):
         assert {r["lang"] for r in QUERIES[name](spark, SF).select("lang").collect()} == langs
-    assert {(u["features"], u["iterations"]) for u in used} == {(training.DEFAULTS["features"], training.DEFAULTS["iterations"])}
+    assert {u["iterations"] for u in used} == {training.DEFAULTS["iterations"]} and set(sizes) == {training.DEFAULTS["features"]}
+
+
+def test_logits_follow_coefficients_and_weights(spark):
+    from corpusforge.operators import training
+
+    rows = training.featured(testbed.corpus(spark, SF).where("lang = 'en'"), 32, ("seed",), ("test",))
+    params = {**training.DEFAULTS, "iterations": 5}
+    model = training.fit(rows, 3, params, ("seed",))
+    matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    logits = {r["example_id"]: r["logits"] for r in training.predict(model, rows.where("corpus = 'test'"), "m", 3).collect()}
+    for r in rows.where("corpus = 'test'").select("id", "features").collect():
+        assert logits[r["id"]] == pytest.approx(list(matrix @ r["features"].toArray() + bias))
+    weights = {w for (w,) in rows.select(training.draw_weight(3)).distinct().collect()}
+    assert weights == {1.0, 2.0}
+    other = training.fit(rows, 4, params, ("seed",)).coefficientMatrix.toArray()
+    assert abs(matrix - other).max() > 0  # another seed weighs the rows otherwise
