@@ -133,18 +133,21 @@ def _row(head: dict[str, list[str]], block: bytes, payload: bool) -> dict:
 
 
 def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
-    """One row per record of the archives in ``folder`` (plain or gzip).
+    """One row per record of the archives in ``folder`` (plain or gzip, whatever their names; other files have no records).
 
     ``payload_bytes`` and ``payload_digest`` (SHA-1, hex) are those of the full payload: computed from the bytes of a response (``intact``: as the
     record says), taken from the headers of a revisit. The payload itself comes only with ``payload``.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz" if not payload else "*").load(folder).select("content")
+    files = spark.read.format("binaryFile").load(folder).select("content")
 
     def work(batches):
         for batch in batches:
             for data in batch.column(0):
                 rows, size = [], 0
-                for head, block in parse(_unzip(data.as_py())):
+                content = _unzip(data.as_py())
+                if not content[:64].lstrip(b"\r\n").startswith(b"WARC/"):
+                    continue
+                for head, block in parse(content):
                     rows.append(_row(head, block, payload))
                     size += len(block)
                     if size > 1 << 23 or len(rows) >= 5000:

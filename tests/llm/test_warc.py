@@ -66,3 +66,22 @@ def test_parse():
         list(warc.parse(record[:-6]))
     with pytest.raises(ValueError):
         list(warc.parse(b"junk"))
+
+
+@pytest.mark.parametrize("payload", [False, True])
+def test_plain_archives_count_like_packed_ones(spark, tmp_path, payload):
+    df = spark.createDataFrame([(i, f"http://x/{i}", f"page {i} " * 300) for i in range(6)], "page_id long, url string, html string")
+    folder = scratch_path(spark, "warc")
+    warc.write(df, folder)
+    want = sorted((r["record_id"], r["type"], r["payload_digest"]) for r in warc.read(spark, folder, payload).collect())
+    mixed = tmp_path / "mixed"
+    mixed.mkdir()
+    for n, f in enumerate(spark.read.format("binaryFile").load(folder).select("content").collect()):
+        if n % 2:
+            (mixed / f"{n}.warc").write_bytes(gzip.decompress(f[0]))
+        else:
+            (mixed / f"packed{n}").write_bytes(f[0])  # gzip by content, not by name
+    (mixed / "notes.txt").write_text("no archive at all")
+    (mixed / "empty.warc").write_bytes(b"")
+    got = sorted((r["record_id"], r["type"], r["payload_digest"]) for r in warc.read(spark, f"file://{mixed}", payload).collect())
+    assert got == want and want
