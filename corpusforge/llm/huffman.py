@@ -122,7 +122,7 @@ def unpack(payloads: list[bytes], counts: np.ndarray, marks: list[np.ndarray], t
 
 #: Words without ASCII white space, cut before marks that follow a letter: the tokenizer never has both in one word.
 _WORD = re.compile(r"[^ \t\n\r](?:[^ \t\n\r.,!?;:]+|(?<![A-Za-z])[.,!?;:])*")
-_TOKENIZERS: dict[int, _Encoder] = {}
+_TOKENIZERS: dict[tuple[int, int], _Encoder] = {}
 
 
 class _Encoder:
@@ -184,7 +184,7 @@ def token_ids(docs: DataFrame, model: bytes, end_id: int, doc_id: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
-        key = zlib.crc32(shared.value)
+        key = zlib.crc32(shared.value), width
         if key not in _TOKENIZERS:
             _TOKENIZERS[key] = _Encoder(shared.value, width)
         end = end_id.to_bytes(width, "little")
