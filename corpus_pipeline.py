@@ -1,6 +1,9 @@
 """Corpus preparation in five stages; each works on all that its predecessor kept, written as Parquet and reread.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``, with any others untouched,
+whatever they are called. A null or empty text has no letter and goes in the first stage. Given to a later stage, it stays (secrets, decontamination),
+is linked with nothing (near copies) and is encoded as no ids. Repeated rows of one id and text count once from the near copies on; a null id is an id like
+any other; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -20,23 +23,33 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without a letter, and those of no clear language, go. Trained on the documents outside the held-out fold."""
     ship(spark)
     model = langid.train(docs.where(~langid.held_out()).select("text", "lang"))
-    named = langid.predict(docs, model, lang_pred="_lang", score_col="_score")
-    return named.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
+    lang, score = _free(docs, "lang_pred"), _free(docs, "score")
+    named = langid.predict(docs, model, lang_pred=lang, score_col=score)
+    return named.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet (names do not differ by case alone)."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def _by_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """Documents with (left_semi) or without (left_anti) a row of the same id and text."""
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    right = rows.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text_key"))
-    return keyed.join(right, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text_key")), how)
+    right = rows.select(F.col("doc_id").alias("right_doc"), F.col("text_key").alias("right_key"))
+    same = docs["doc_id"].eqNullSafe(right["right_doc"]) & (F.xxhash64(docs["text"]) == right["right_key"])
+    return docs.join(right, same, how)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8): the one with the smallest id."""
     ship(spark)
     kept = jaccard.cluster(docs, k=5, percent=80).where("keep")
-    once = _by_text(docs, kept, "left_semi")
-    return once.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    key = _free(docs, "text_key")
+    once = _by_text(docs, kept, "left_semi").withColumn(key, F.xxhash64("text"))
+    return once.dropDuplicates(["doc_id", key]).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +62,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
     ship(spark)
-    found = secret_scan.scan(docs, secret_scan.fit(secret_scan.samples(docs)), spans="_spans")
-    safe = found.withColumn("text", secret_scan.redact(F.col("text"), F.col("_spans")))
+    spans = _free(docs, "spans")
+    found = secret_scan.scan(docs, secret_scan.fit(secret_scan.samples(docs)), spans=spans)
+    safe = found.withColumn("text", secret_scan.redact(F.col("text"), F.col(spans)))
     return safe.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -51,11 +51,12 @@ def test_stages(spark, monkeypatch):
 
 
 def test_odd_tables(spark):
-    ddl = "doc_id long, text string, lang string, source string, n_chars long, _lang string, runs int"
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, _lang string, runs int, _key string, _spans string, lang_pred string, SCORE int, text_key string"
     odd = [(None, None, None, None, None, "x", 1), (1, "", "en", "s", 0, "x", 1), (2, "the cat sat on the mat again " * 30, "en", None, 5, None, 1),
            (2, "the cat sat on the mat again " * 30, "en", None, 5, None, 1), (3, "the cat sat on the mat again " * 30 + "x", "en", None, 5, None, 1),
            (None, "a quiet text of its own that nobody copied today", None, None, 1, None, None)]
-    df = spark.createDataFrame(odd, ddl)
+    mine = ("mine", "spans", "tongue", 7, "keyed")
+    df = spark.createDataFrame([(*r, *mine) for r in odd], ddl)
     for docs in (df, df.where("false")):
         n = docs.count()
         for name, stage in corpus_pipeline.STAGES:
@@ -63,5 +64,7 @@ def test_odd_tables(spark):
             docs = materialize(stage(spark, docs, SF))
             if name != "encode":
                 assert docs.columns == columns
+                assert {tuple(r) for r in docs.select("_key", "_spans", "lang_pred", "SCORE", "text_key").collect()} <= {mine}
+                assert {tuple(r) for r in docs.select("doc_id", "_lang", "runs").collect()} <= {(r[0], r[5], r[6]) for r in odd}
         assert docs.count() == (2 if n else 0)
         assert docs.where(F.col("lossless")).count() == docs.count()
