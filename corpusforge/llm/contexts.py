@@ -16,8 +16,10 @@ from . import nptext
 from ..session import scratch_path
 from .tables import bit_filter, in_filter, materialize, null_join
 
-#: Items (bytes or words) of text over which a task folds equal anchors and contexts before it emits them.
+#: Items (bytes or words) of text over which a task folds equal anchors before it emits them.
 FLUSH = 1 << 25
+#: A task emits its contexts once it holds so many bytes of them, different contexts or occurrences.
+HELD_BYTES, HELD_CONTEXTS, HELD_PLACES = 1 << 25, 200_000, 1_000_000
 
 
 class Piece:
@@ -134,13 +136,12 @@ def candidates(docs: DataFrame, unit) -> DataFrame:
     def cut(batches):
         held: list[tuple] = []
         ctx: dict[tuple[int, int], bytes] = {}
-        size = 0
+        size = places = 0
         for batch in batches:
             doc, t = batch.column(0), batch.column(1).to_numpy()
             none = np.asarray(doc.is_null())
             doc = doc.fill_null(0).to_numpy()
             for i, _, p in unit.pieces(batch.column(2)):
-                size += p.items.size
                 pick, lo, hi = nptext.anchors(p.values, width, p.valid)
                 ok = in_filter(shared.value, p.values[pick])
                 pick, lo, hi = pick[ok], lo[ok], hi[ok]
@@ -148,12 +149,14 @@ def candidates(docs: DataFrame, unit) -> DataFrame:
                 for key, a, b in zip(zip(h.tolist(), cd.tolist()), lo.tolist(), hi.tolist()):
                     if key not in ctx:
                         ctx[key] = p.cut(a, b + unit.size)
+                        size += len(ctx[key])
                 row = p.row[lo] + i
                 if pick.size:
                     held.append((h, cd, doc[row], none[row], t[row], p.place[lo].astype(np.int32), (hi - lo + 1).astype(np.int32), (pick - lo).astype(np.int32)))
-                if size >= FLUSH and held:
+                places += pick.size
+                if size >= HELD_BYTES or len(ctx) >= HELD_CONTEXTS or places >= HELD_PLACES:
                     yield _fold(held, ctx)
-                    held, ctx, size = [], {}, 0
+                    held, ctx, size, places = [], {}, 0, 0
         if held:
             yield _fold(held, ctx)
 
