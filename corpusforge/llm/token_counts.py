@@ -26,7 +26,7 @@ BLOCK, CHUNK = 1 << 21, 1 << 9
 #: States kept by a worker; beyond, the machine starts anew after the block.
 STATES = 400_000
 #: A suffix with at most so many pieces that it may grow into remembers only which of them the piece before allows.
-FEW = 8
+FEW = 16
 _NONE = 1 << 30
 
 
@@ -74,6 +74,7 @@ class Transducer:
             self.left.append([(r, a) for r, a, _ in history])
             self.right.append([(r, b) for r, _, b in history])
         self.grows = self._growth()
+        self.joints = {p[i:i + 2] for p in pieces for i in range(len(p) - 1)}
         self.chars = chars
         n = len(chars)
         #: Symbols: characters of pieces, others by their number of bytes, start of a text, filling.
@@ -184,8 +185,10 @@ class Transducer:
         grown, found = [], None
         for packed in self.keys[state]:
             relative, rest = (packed & 0xFFFF) - (1 << 15), packed >> 16
-            before = (rest & 0xFFFFFFFF) - 2
-            node = self.children[rest >> 32].get(char)
+            before, node = (rest & 0xFFFFFFFF) - 2, rest >> 32
+            if not node and before >= 0 and self.tokens[before][-1] + char not in self.joints:
+                before = -1  # no piece has these two characters side by side: nothing merges across
+            node = self.children[node].get(char)
             if node is None:
                 continue
             token = self.token_at[node]
