@@ -16,10 +16,13 @@ from . import nptext
 from ..session import scratch_path
 from .tables import bit_filter, in_filter, materialize, null_join
 
-#: Items (bytes or words) of text over which a task folds equal anchors before it emits them.
+#: Items (bytes or words) of text over which a task folds equal anchors and contexts before it emits them.
 FLUSH = 1 << 25
-#: A task emits its contexts once it holds so many bytes of them, different contexts or occurrences.
-HELD_BYTES, HELD_CONTEXTS, HELD_PLACES = 1 << 25, 200_000, 1_000_000
+#: Contexts go sooner, once a task holds so many different ones or occurrences, or as many bytes of them as ``held`` of the unit says.
+HELD_CONTEXTS, HELD_PLACES = 200_000, 1_000_000
+
+#: Bytes of text taken together where every byte has a window: some twenty numbers a byte are held at a time.
+TOGETHER = 1 << 18
 
 
 class Piece:
@@ -39,12 +42,14 @@ class Piece:
 class Bytes:
     """Windows of ``size`` UTF-8 bytes."""
 
+    held = 1 << 23
+
     def __init__(self, size: int):
         self.size, self.k = size, max(1, size // 5)
 
     def pieces(self, column: pa.Array):
         data, offsets = nptext.arrow_bytes(column)
-        for i, j in nptext.blocks(offsets):
+        for i, j in nptext.blocks(offsets, TOGETHER):
             part, at = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
             n = max(part.size - self.k + 1, 0)
             pos = np.arange(n)
@@ -58,6 +63,8 @@ class Bytes:
 class Spaced:
     """Windows of ``size`` words without ASCII white space."""
 
+    held = 1 << 25
+
     def __init__(self, size: int):
         self.size, self.k = size, max(1, (size + 2) // 3)
 
@@ -136,7 +143,7 @@ def candidates(docs: DataFrame, unit) -> DataFrame:
     def cut(batches):
         held: list[tuple] = []
         ctx: dict[tuple[int, int], bytes] = {}
-        size = places = 0
+        size = places = items = 0
         for batch in batches:
             doc, t = batch.column(0), batch.column(1).to_numpy()
             none = np.asarray(doc.is_null())
@@ -154,9 +161,10 @@ def candidates(docs: DataFrame, unit) -> DataFrame:
                 if pick.size:
                     held.append((h, cd, doc[row], none[row], t[row], p.place[lo].astype(np.int32), (hi - lo + 1).astype(np.int32), (pick - lo).astype(np.int32)))
                 places += pick.size
-                if size >= HELD_BYTES or len(ctx) >= HELD_CONTEXTS or places >= HELD_PLACES:
+                items += p.items.size
+                if held and (items >= FLUSH or size >= unit.held or len(ctx) >= HELD_CONTEXTS or places >= HELD_PLACES):
                     yield _fold(held, ctx)
-                    held, ctx, size, places = [], {}, 0, 0
+                    held, ctx, size, places, items = [], {}, 0, 0, 0
         if held:
             yield _fold(held, ctx)
 
