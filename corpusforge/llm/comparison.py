@@ -60,3 +60,34 @@ LEXICAL = f"""WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({LOWER},
    FROM b JOIN tf USING (t) JOIN w USING (t) CROSS JOIN g GROUP BY ALL),
  r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
 SELECT * FROM r WHERE rank <= 20"""
+
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, {_SPACED}) AS w FROM documents),
+ s AS MATERIALIZED (SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+   ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM w),
+ x AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+ e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.t = b.t AND a.doc_id <> b.doc_id
+   AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+ r(a, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a AND r.c < e.b)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, min(r.c) AS component_id FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, s.g"""
+
+DECONTAMINATED = f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, {_ALNUM}), []) AS w FROM documents),
+ i AS (SELECT item_id, coalesce(regexp_extract_all({LOWER}, {_ALNUM}), []) AS w FROM benchmark),
+ v AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, p, p + 9), ' ') AS t FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+ z AS (SELECT DISTINCT n FROM v),
+ o AS MATERIALIZED (SELECT DISTINCT doc_id, p, f.n, item_id FROM (SELECT doc_id, z.n, p, array_to_string(list_slice(w, p, p + z.n - 1), ' ') AS t
+   FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM d) CROSS JOIN z WHERE p + z.n - 1 <= len(w)) f JOIN v ON v.n = f.n AND v.t = f.t),
+ h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM o) GROUP BY doc_id),
+ m AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM o) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+ sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+REPEATED_WORDS = f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(regexp_extract_all(text, {_SPACED}), []) AS w FROM documents),
+ v AS MATERIALIZED (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 12), ' ') AS t FROM (SELECT *, unnest(range(1, greatest(len(w) - 11, 1))) AS p FROM d)),
+ f AS (SELECT *, min(doc_id) OVER (PARTITION BY t) AS first FROM v),
+ g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM f WHERE first < doc_id),
+ k AS (SELECT x.doc_id, string_agg(x.t, ' ' ORDER BY x.p) AS kept FROM (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d) x ANTI JOIN g ON g.doc_id = x.doc_id AND g.p = x.p GROUP BY x.doc_id),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)"""

@@ -57,7 +57,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"))
 
 
-@query("op4_decontaminate")
+@query("op4_decontaminate", comparison.DECONTAMINATED)
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in windows of benchmark items."""
     got = decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -65,7 +65,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-@query("op3_jaccard_join")
+@query("op3_jaccard_join", comparison.JACCARD)
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document: 3-word shingles, similarity 0.9 or more."""
     return jaccard.cluster(read(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
@@ -116,7 +116,7 @@ def op5_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.search(rows, rows.where("vec_id % 100 = 0"), k=10)
 
 
-@query("op8_suffix_tree_dedup")
+@query("op8_suffix_tree_dedup", comparison.REPEATED_WORDS)
 def op8_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document outside windows of 13 words that an earlier document has."""
     return suffix_tree.remove_repeats(read(spark, sf_dir, "documents"), size=13)
