@@ -21,6 +21,8 @@ MATCHES = 5
 MOST_MATCHES = 9
 #: Rounds in which each posting list is compared with one of its members only.
 ROUNDS = 2
+#: Words of 64 bits in the parity bitmap of a set; a fixed size for every set.
+WORDS = 8
 
 
 def _sets(column: pa.Array, k: int):
@@ -50,6 +52,17 @@ def _bucket(g: np.ndarray) -> np.ndarray:
     return (nptext.mix(g) >> nptext.U(44)).astype(np.int64)
 
 
+def _parity(d: np.ndarray, g: np.ndarray, rows: int) -> np.ndarray:
+    """Per row a bitmap in which every shingle flips one bit.
+
+    Shared shingles flip the same bits, so the bits in which two bitmaps differ are at most as many as the shingles that one set has alone.
+    """
+    slot = nptext.mix(g) & nptext.U(64 * WORDS - 1)
+    bits = np.zeros(rows * WORDS, np.uint64)
+    np.bitwise_xor.at(bits, d * WORDS + (slot >> nptext.U(6)).astype(np.int64), nptext.U(1) << (slot & nptext.U(63)))
+    return bits.reshape(rows, WORDS)
+
+
 def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Estimated document frequency per bucket of shingles, from those that repeat inside tasks, over all documents.
 
@@ -102,7 +115,7 @@ def prefix(freq: np.ndarray, percent: int) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Per document (doc, t): number of shingles, 128-bit signature of the set, asked matches and the prefix."""
+    """Per document (doc, t): number of shingles, 128-bit signature of the set, asked matches, parity bitmap and the prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def sign(batches):
@@ -114,6 +127,8 @@ def signatures(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> Dat
                 for c in (0, 1):
                     run = np.concatenate([[nptext.U(0)], np.cumsum(nptext.mix(g ^ nptext._COEF[200 + c]), dtype=np.uint64)])
                     both.append(nptext.signed(run[first[1:]] - run[first[:-1]]))
+                parity = nptext.signed(_parity(d, g, j - i))
+                bits = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(parity[:, w])) for w in range(WORDS)], names=[f"w{w}" for w in range(WORDS)])
                 f = shared.value[_bucket(g)]
                 order = np.lexsort((g, f, d))
                 f, s = f[order], nptext.signed(g[order])
@@ -124,10 +139,11 @@ def signatures(docs: DataFrame, sketch: np.ndarray, k: int, percent: int) -> Dat
                     lengths[x + 1] = size
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths).astype(np.int32)), pa.array(np.concatenate(parts) if parts else s[:0]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n.astype(np.int64)),
-                                                  pa.array(both[0]), pa.array(both[1]), pa.array(asked), lists],
-                                                 names=["doc", "t", "n", "s1", "s2", "l", "prefix"])
+                                                  pa.array(both[0]), pa.array(both[1]), pa.array(asked), bits, lists],
+                                                 names=["doc", "t", "n", "s1", "s2", "l", "bits", "prefix"])
 
-    return docs.mapInArrow(sign, "doc long, t long, n long, s1 long, s2 long, l int, prefix array<bigint>")
+    words = ", ".join(f"w{w}: bigint" for w in range(WORDS))
+    return docs.mapInArrow(sign, f"doc long, t long, n long, s1 long, s2 long, l int, bits struct<{words}>, prefix array<bigint>")
 
 
 def _full_sets(rows: DataFrame, keys: DataFrame, k: int) -> DataFrame:
@@ -157,16 +173,30 @@ def _may(x: str, y: str, percent: int) -> str:
     ``x`` and ``y`` name a row each with size n, asked matches l and position pos. With sizes that allow the similarity, the sets share at least ``o``
     shingles, so the first l of them stand among the first n - o + l of either set.
     """
-    o = f"({percent} * ({x}n + {y}n) + {100 + percent - 1}) div {100 + percent}"
+    o = _overlap(x, y, percent)
     l = f"least({x}l, {y}l)"
     return (f"100 * least({x}n, {y}n) >= {percent} * greatest({x}n, {y}n) "
             f"AND {x}pos < {x}n - {o} + {l} AND {y}pos < {y}n - {o} + {l}")
 
 
+def _overlap(x: str, y: str, percent: int) -> str:
+    """Least number of shared shingles of two similar sets of ``x``n and ``y``n shingles."""
+    return f"(({percent} * ({x}n + {y}n) + {100 + percent - 1}) div {100 + percent})"
+
+
+def _near(x: str, y: str, percent: int) -> str:
+    """Whether the parity bitmaps allow the similarity; never false for similar sets."""
+    apart = " + ".join(f"bit_count({x}bits.w{w} ^ {y}bits.w{w})" for w in range(WORDS))
+    return f"{apart} <= {x}n + {y}n - 2 * {_overlap(x, y, percent)}"
+
+
 def _verify(pairs: DataFrame, rows: DataFrame, keys: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose whole sets reach the similarity."""
+    """Those pairs (a, b) whose whole sets reach the similarity. Whole sets are fetched only for pairs that the bitmaps of ``keys`` allow."""
+    small = keys.select("row", F.struct("n", "bits").alias("x"))
+    pairs = materialize(pairs.join(small.withColumnsRenamed({"row": "a"}), "a").join(small.withColumnsRenamed({"row": "b", "x": "y"}), "b")
+                        .where(_near("x.", "y.", percent)).select("a", "b"))
     some = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = materialize(_full_sets(rows, materialize(keys.join(some, "row", "left_semi")), k))
+    sets = materialize(_full_sets(rows, materialize(keys.select("row", "doc", "t").join(some, "row", "left_semi")), k))
     left = sets.select(F.col("row").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("row").alias("b"), F.col("tokens").alias("y"))
     return (pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
@@ -189,14 +219,16 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     1. Equal sets become one class. 2. Postings of the adaptive prefixes; lists of one class go, and classes with fewer
     shared shingles than any partner asks for. 3. Rounds: every list
     is compared with one member, and lists within one component go, so dense groups of near copies need a few comparisons
-    per member. 4. All pairs of different components that are left and share the asked number of prefix shingles are compared.
+    per member. 4. All pairs of different components that are left and share the asked number of prefix shingles are compared. Within
+    this join, and before whole sets are fetched, a parity bitmap of fixed size per set bounds the overlap from above, so pairs just below the
+    similarity go without being emitted and no link is lost.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     signed = materialize(signatures(rows, frequency_sketch(rows, k), k, percent).withColumn("row", F.monotonically_increasing_id()))
     classes = materialize(signed.where("n > 0").groupBy("s1", "s2", "n")
                           .agg(F.min("row").alias("rep"), F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "t", "row")).alias("least")))
-    keys = signed.select("row", "doc", "t")
+    keys = signed.select("row", "doc", "t", "n", "bits")
     first = signed.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
     need = F.expr(f"least({MATCHES}, ceil({percent} * ceil({percent} * n / 100) / 100))")  # what the smallest partner may ask for
     asks = materialize(first.select("row", "n", "l", need.alias("need")))
@@ -232,13 +264,14 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     now = posts.join(state, "row")
     sizes = now.groupBy("token", "comp").agg(F.count("*").alias("held"))
     mixed = sizes.groupBy("token").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("held", "comp")).alias("major")).where("comps > 1")
-    now = materialize(now.join(mixed.select("token", "major"), "token"))
-    other = now.select("token", F.struct("row", "n", "l", "pos", "comp").alias("o"))
+    now = now.join(mixed.select("token", "major"), "token")
+    now = materialize(now.join(keys.select("row", "bits"), "row"))
+    other = now.select("token", F.struct("row", "n", "l", "pos", "comp", "bits").alias("o"))
     # after the last match counted, at most the shorter rest of both sets can be shared
     rest = F.least(F.min(F.col("n") - F.col("pos")), F.min(F.col("o.n") - F.col("o.pos"))) - 1
-    least = F.first(F.expr(f"({percent} * (n + o.n) + {100 + percent - 1}) div {100 + percent}"))
+    least = F.first(F.expr(_overlap("", "o.", percent)))
     pairs = (now.where("comp <> major").join(other, "token").where("comp <> o.comp AND (o.comp = major OR row < o.row)")
-             .where(_may("", "o.", percent)).groupBy(*_pair("row", "o.row"))
+             .where(_may("", "o.", percent)).where(_near("", "o.", percent)).groupBy(*_pair("row", "o.row"))
              .agg(F.count("*").alias("hits"), F.min(F.least("l", "o.l")).alias("asked"), rest.alias("rest"), least.alias("least"))
              .where("hits >= asked AND hits + rest >= least").select("a", "b")
              .join(done, ["a", "b"], "left_anti"))

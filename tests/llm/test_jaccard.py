@@ -34,6 +34,19 @@ def test_prefix_is_long_enough():
         assert 1 <= asked <= t and size == n - t + asked
 
 
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 100, 3000):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for new in (0, 1, n // 10, n):
+            y = np.concatenate([x[new:], rng.integers(0, 1 << 63, new, dtype=np.uint64)])
+            d = np.repeat([0, 2], [x.size, y.size])
+            bits = jaccard._parity(d, np.concatenate([x, y]), 3)
+            apart = int(np.bitwise_count(bits[0] ^ bits[2]).sum())
+            assert apart <= np.setxor1d(x, y).size and not bits[1].any()
+            assert new * 20 > n or apart >= new  # few differences seldom meet in a bit
+
+
 def test_query(spark):
     got = sorted(tuple(r) for r in QUERIES["op3_jaccard_join"](spark, SF).collect())
     assert got == sorted(brute.components(docs_of(spark)))
