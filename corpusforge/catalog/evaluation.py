@@ -237,9 +237,36 @@ def ensemble(spark, d):
     return C.ensemble(predictions(spark, d))
 
 
-@query("greedy_ensemble")
+def _greedy_sql() -> str:
+    """One step per seed; r: running class sums, t: those with the step's seed, b: the decision."""
+    def f1(src: str, by: str) -> str:
+        cells = ", ".join(f"count(*) FILTER (true_label = '{x}' AND p = '{x}') AS h{i}, count(*) FILTER (true_label = '{x}') + count(*) FILTER (p = '{x}') AS c{i}"
+                          for i, x in enumerate(LABELS))
+        scores = " + ".join(f"coalesce(CAST(2 * h{i} AS DOUBLE) / nullif(c{i}, 0), 0)" for i in range(3))
+        return f"(SELECT {by}, ({scores}) / ((c0 > 0)::INT + (c1 > 0)::INT + (c2 > 0)::INT) AS f1 FROM (SELECT {by}, {cells} FROM {src} GROUP BY ALL))"
+
+    pick = lambda x: f"CASE WHEN {x}0 >= {x}1 AND {x}0 >= {x}2 THEN 'negative' WHEN {x}1 >= {x}2 THEN 'neutral' ELSE 'positive' END AS p"
+    total = "(exp(z0 - m) + exp(z1 - m) + exp(z2 - m))"
+    key = "model, lang, example_id, true_label"
+    parts = [f"""soft AS MATERIALIZED (SELECT *, exp(z0 - m) / {total} AS s0, exp(z1 - m) / {total} AS s1, exp(z2 - m) / {total} AS s2, {pick('z')}
+      FROM (SELECT *, greatest(z0, z1, z2) AS m FROM predictions WHERE split = 'valid'))""",
+             f"ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY model, lang ORDER BY f1 DESC, seed) AS step FROM {f1('soft', 'model, lang, seed')})",
+             f"r1 AS MATERIALIZED (SELECT {key}, s0, s1, s2 FROM soft JOIN ranked USING (model, lang, seed) WHERE step = 1)",
+             "b1 AS MATERIALIZED (SELECT model, lang, seed, 1 AS step, 'start' AS action, f1 AS val_f1, f1 AS best FROM ranked WHERE step = 1)"]
+    for i in range(2, len(SEEDS) + 1):
+        parts += [f"""t{i} AS MATERIALIZED (SELECT {key}, sum(s0) AS s0, sum(s1) AS s1, sum(s2) AS s2 FROM (SELECT * FROM r{i - 1} UNION ALL
+          SELECT {key}, s0, s1, s2 FROM soft JOIN ranked USING (model, lang, seed) WHERE step = {i}) GROUP BY ALL)""",
+                  f"""b{i} AS MATERIALIZED (SELECT model, lang, ranked.seed, {i} AS step, CASE WHEN f.f1 >= best THEN 'ADD' ELSE 'skip' END AS action, f.f1 AS val_f1, greatest(f.f1, best) AS best
+          FROM ranked JOIN {f1(f"(SELECT *, {pick('s')} FROM t{i})", 'model, lang')} f USING (model, lang) JOIN b{i - 1} USING (model, lang) WHERE ranked.step = {i})""",
+                  f"""r{i} AS MATERIALIZED (SELECT {key}, s0, s1, s2 FROM t{i} JOIN b{i} USING (model, lang) WHERE action = 'ADD' UNION ALL
+          SELECT {key}, s0, s1, s2 FROM r{i - 1} JOIN b{i} USING (model, lang) WHERE action = 'skip')"""]
+    rows = " UNION ALL ".join(f"SELECT model, lang, step, seed, action, val_f1 FROM b{i}" for i in range(1, len(SEEDS) + 1))
+    return f"WITH {', '.join(parts)} {rows}"
+
+
+@query("greedy_ensemble", sql("predictions", _greedy_sql(), "val_f1"))
 def greedy_ensemble(spark, d):
-    """Order-dependent selection; compared with a sequential copy in the tests."""
+    """Order-dependent selection; also compared with a sequential copy in the tests."""
     return C.greedy_ensemble(predictions(spark, d))
 
 

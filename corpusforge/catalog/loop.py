@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import LABELS
 from ..functions.text import word_count
 from ..operators import generation as G
 from ..operators import lengths as L
@@ -52,6 +53,85 @@ def first_sentences(spark, d):
     return s.select("lang", "label", "batch_idx", "sid", "seed_id", "plan_id", "preserve", F.md5("text").alias("text_md5"), "retry_count")
 
 
+_NAMES = {"de": "German", "en": "English", "es": "Spanish", "fr": "French"}
+_NAMED = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _NAMES.items()) + " ELSE lang END"
+_LABELLED = ", ".join(f"CAST(printf('%.1f', {f}(wc) FILTER (label = '{x}')) AS DOUBLE) AS {x}_{n}" for x in LABELS for f, n in (("avg", "mean"), ("stddev_samp", "std")))
+
+
+def _prompt():
+    """A prompt made from the context: language name and label."""
+    return F.concat(F.get_json_object("context", "$.language"), F.lit(" "), F.get_json_object("context", "$.label"), F.lit(": "))
+
+
+def _batch_sql(items: str) -> str:
+    return sql("wlen", f"""SELECT lang, label, batch_idx, {_NAMED} || ' ' || label AS head, items, seeds, words, texts_md5, p.* EXCLUDE (lang) FROM (
+      SELECT b.lang, b.label, b.batch_idx, count(*) AS seeds, CAST(coalesce(sum(wc), 0) AS BIGINT) AS words, md5(coalesce(string_agg(b.text, '|' ORDER BY b.id), '')) AS texts_md5
+      FROM {_BATCHED} b LEFT JOIN (SELECT id, lang, wc FROM wlen WHERE corpus = 'seed') w ON w.id = b.id AND w.lang = b.lang GROUP BY ALL)
+      JOIN (SELECT lang, label, batch_idx, count(*) AS items FROM {items} GROUP BY ALL) USING (lang, label, batch_idx)
+      JOIN (SELECT lang, {_LABELLED} FROM wlen WHERE corpus = 'seed' GROUP BY lang) p USING (lang)""")
+
+
+def _group_sql() -> str:
+    return sql("corpus", f"""SELECT lang, label, batch_idx, seed_id, {_NAMED} || ' ' || label AS head, lang AS code, md5(s.text) AS seed_md5, items FROM (
+      SELECT lang, label, batch_idx, seed_id, count(*) AS items FROM {_FIRST} GROUP BY ALL) JOIN (SELECT lang, label, batch_idx, id AS seed_id, text FROM {_BATCHED}) s USING (lang, label, batch_idx, seed_id)""")
+
+
+def _read_back(asked):
+    """The prompt and the number of items of a request."""
+    head = F.substring_index("payload", ": [", 1)
+    body = F.substr(F.col("payload"), F.length(head) + 3)
+    return asked.withColumns({"head": head, "items": F.size(F.from_json(body, "array<struct<text string>>")).cast("long")})
+
+
+def _batch_documents(spark, d, requests):
+    seeds = seed_batches(spark, d)
+    asked = _read_back(G.with_context(requests, G.batch_context(seeds, L.length_profile(seeds, ["lang", "label"]), _NAMES), _prompt()))
+    shape = "lengths map<string, struct<mean double, std double>>, seeds array<struct<id bigint, words int, text string>>"
+    got = asked.withColumn("c", F.from_json("context", shape))
+    words = F.aggregate("c.seeds", F.lit(0), lambda a, x: a + F.coalesce(x["words"], F.lit(0)))
+    sizes = [F.try_element_at("c.lengths", F.lit(x))[n].alias(f"{x}_{n}") for x in LABELS for n in ("mean", "std")]
+    return got.select(*G.BATCH, "head", "items", F.size("c.seeds").cast("long").alias("seeds"), words.cast("long").alias("words"),
+                      F.md5(F.concat_ws("|", F.transform("c.seeds", lambda x: x["text"]))).alias("texts_md5"), *sizes)
+
+
+def _group_documents(spark, d, add, label, conf):
+    seeds, plans = seed_batches(spark, d), _plans(spark, d)
+    answers = materialize(write_model(G.sentence_requests(plans).withColumn("ask", F.lit(1))))
+    indexed = G.group_by_seed(add(loop_models())(G.first_sentences(answers, plans)))
+    asked = _read_back(G.with_context(G.verdict_requests(indexed, label, conf), G.seed_context(seeds, _NAMES), _prompt()))
+    field = lambda n: F.get_json_object("context", f"$.{n}")
+    return asked.select(*G.GROUP, "head", field("lang").alias("code"), F.md5(field("seed")).alias("seed_md5"), "items")
+
+
+@query("context_plan", _batch_sql(_BATCHED))
+def context_plan(spark, d):
+    """Requests with their context, read back, so that prompt, payload and context are compared."""
+    return _batch_documents(spark, d, G.plan_requests(seed_batches(spark, d)))
+
+
+@query("context_write", _batch_sql(_PLANS))
+def context_write(spark, d):
+    return _batch_documents(spark, d, G.sentence_requests(_plans(spark, d)))
+
+
+@query("context_retry", _batch_sql(_FIRST))
+def context_retry(spark, d):
+    """A queue of all first sentences."""
+    plans = _plans(spark, d)
+    answers = materialize(write_model(G.sentence_requests(plans).withColumn("ask", F.lit(1))))
+    return _batch_documents(spark, d, G.retry_requests(G.first_sentences(answers, plans).withColumn("prev_feedback", F.lit("shorter"))))
+
+
+@query("context_sentiment", _group_sql())
+def context_sentiment(spark, d):
+    return _group_documents(spark, d, lambda m: m.sentiment, "sentiment_label", "sentiment_conf")
+
+
+@query("context_language", _group_sql())
+def context_language(spark, d):
+    return _group_documents(spark, d, lambda m: m.language, "lid_lang", "lid_conf")
+
+
 @query("check_bijection", sql("corpus", f"SELECT lang, label, batch_idx, batch_idx % 7 NOT IN (3, 5, 6) AS valid FROM {_BATCHED} GROUP BY ALL"))
 def check_bijection(spark, d):
     """First answers of the plan stage: broken JSON or a forgotten seed makes a batch invalid."""

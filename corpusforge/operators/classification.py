@@ -242,43 +242,45 @@ def flip_profile(flips: DataFrame) -> DataFrame:
         F.avg("ncov").alias("mean_new_words"), F.avg("oov_seed").alias("mean_oov"))
 
 
-def _mean_softmax(predictions: DataFrame, by: list[str], k: int = len(LABELS)) -> DataFrame:
-    """Summed class probabilities per example over the runs, without listing the runs."""
-    probs = predictions.withColumn("_p", softmax("logits"))
+def _class_sums(probs: DataFrame, by: list[str], k: int = len(LABELS)) -> DataFrame:
+    """Summed class probabilities per example, without listing the runs."""
     return probs.groupBy(*by, "example_id", "true_label").agg(*[
-        F.sum(F.element_at("_p", i + 1)).alias(f"_s{i}") for i in range(k)]).select(
+        F.sum(F.element_at("logits", i + 1)).alias(f"_s{i}") for i in range(k)]).select(
         *by, "example_id", "true_label", F.array(*[f"_s{i}" for i in range(k)]).alias("logits"))
 
 
 def ensemble(predictions: DataFrame, by: tuple[str, ...] = ("model", "lang", "split")) -> DataFrame:
     """Macro F1 of the mean softmax over seeds."""
     by = list(by)
-    summed = _mean_softmax(predictions, by)
-    names = F.array(*[F.lit(x) for x in LABELS])
-    return macro_f1(summed.withColumn("pred_label", F.element_at(names, argmax("logits") + 1)), by)
+    return macro_f1(with_pred(_class_sums(predictions.withColumn("logits", softmax("logits")), by)), by)
 
 
 def greedy_ensemble(predictions: DataFrame, split: str = "valid", by: tuple[str, ...] = ("model", "lang")) -> DataFrame:
     """Seeds added in order of validation F1 while the ensemble's validation F1 does not fall.
 
-    Returns (by, step, seed, action, val_f1). The loop runs once per seed, over all groups at a time.
+    Returns (by, step, seed, action, val_f1). The loop runs once per seed, over all groups at a time. The chosen seeds' class sums are a
+    running table, so a step adds one seed's rows to it and reads no other.
     """
     by = list(by)
-    rows = materialize(predictions.where(F.col("split") == split))
+    rows = materialize(predictions.where(F.col("split") == split).select(*by, "seed", "example_id", "true_label", "logits"))
     single = macro_f1(with_pred(rows), by + ["seed"]).select(*by, "seed", "f1")
     order = Window.partitionBy(*by).orderBy(F.desc("f1"), "seed")  # one row per seed
     ranked = materialize(single.withColumn("step", F.row_number().over(order)))
+    probs = materialize(join_on(rows.withColumn("logits", softmax("logits")), ranked.select(*by, "seed", "step"), by + ["seed"]).drop("seed"))
     log = ranked.where("step = 1").select(*by, "step", "seed", F.lit("start").alias("action"), F.col("f1").alias("val_f1"))
     best = log.select(*by, F.col("val_f1").alias("best"))
+    sums = materialize(_class_sums(probs.where("step = 1"), by))
     for step in range(2, (ranked.agg(F.max("step")).first()[0] or 0) + 1):
-        trial = ranked.where(F.col("step") == step).select(*by, "seed")
-        chosen = log.where(F.col("action") != "skip").select(*by, "seed")
-        members = join_on(chosen, trial.select(*by), by, "left_semi").unionByName(trial)
-        score = ensemble(join_on(rows, members, by + ["seed"], "left_semi"), tuple(by)).select(*by, "f1")
-        judged = join_on(join_on(trial, score, by), best, by).select(
+        member = ranked.where(F.col("step") == step).select(*by, "seed")
+        running = join_on(sums, member, by, "left_semi")
+        trial = materialize(_class_sums(running.unionByName(probs.where(F.col("step") == step).drop("step")), by))
+        score = macro_f1(with_pred(trial), by).select(*by, "f1")
+        judged = materialize(join_on(join_on(member, score, by), best, by).select(
             *by, F.lit(step).alias("step"), "seed",
-            F.when(F.col("f1") >= F.col("best"), "ADD").otherwise("skip").alias("action"), F.col("f1").alias("val_f1"))
-        log = materialize(log.unionByName(judged))
+            F.when(F.col("f1") >= F.col("best"), "ADD").otherwise("skip").alias("action"), F.col("f1").alias("val_f1")))
+        added = judged.where("action = 'ADD'").select(*by)
+        sums = materialize(join_on(trial, added, by, "left_semi").unionByName(join_on(sums, added, by, "left_anti")))
+        log = log.unionByName(judged)
         best = log.where(F.col("action") != "skip").groupBy(*by).agg(F.max_by("val_f1", "step").alias("best"))
     return log
 

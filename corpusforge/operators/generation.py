@@ -58,8 +58,40 @@ def verdict_requests(indexed: DataFrame, label: str, conf: str, prompt: Column |
     return _with_prompt(indexed.groupBy(*GROUP).agg(_listed(item, "idx").alias("payload")), prompt)
 
 
+def _language(names: dict[str, str]) -> Column:
+    """Name of the language of a row, its code where it has none."""
+    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("lang")), F.col("lang")) if pairs else F.col("lang")
+
+
+def batch_context(seeds: DataFrame, profile: DataFrame, names: dict[str, str]) -> DataFrame:
+    """What the requests of a batch are to know: language name, label, words per text of each label of the language, and the seeds with their lengths.
+
+    ``profile`` has (lang, label, mean, std); both are given at one decimal. A batch and the labels of a language are short lists.
+    """
+    size = F.struct(py_round("mean", 1).alias("mean"), py_round("std", 1).alias("std"))
+    lengths = profile.groupBy("lang").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("label"), size)))).alias("lengths"))
+    item = F.struct(F.col("id"), word_count("text").alias("words"), F.col("text"))
+    batches = seeds.groupBy(*BATCH).agg(F.sort_array(F.collect_list(item)).alias("seeds")).join(lengths, "lang", "left")
+    return batches.select(*BATCH, F.struct(_language(names).alias("language"), F.col("label"), F.col("lengths"), F.col("seeds")).alias("context"))
+
+
+def seed_context(seeds: DataFrame, names: dict[str, str]) -> DataFrame:
+    """What the judges of a seed's sentences are to know: language code and name, target label and the text of the seed."""
+    about = F.struct(F.col("lang"), _language(names).alias("language"), F.col("label"), F.col("text").alias("seed"))
+    return seeds.select(*BATCH, F.col("id").alias("seed_id"), about.alias("context"))
+
+
+def with_context(requests: DataFrame, context: DataFrame, prompt: Column | None = None) -> DataFrame:
+    """Requests with their ``context`` as a JSON document; ``prompt`` may be made from it and stands before the payload."""
+    keys = [c for c in context.columns if c != "context"]
+    rows = requests.join(context, keys, "left").withColumn("context", F.to_json("context", {"ignoreNullFields": "false"}))
+    return _with_prompt(rows, prompt)
+
+
 def _with_prompt(requests: DataFrame, prompt: Column | None) -> DataFrame:
-    return requests if prompt is None else requests.withColumn("payload", F.concat(prompt, F.col("payload")))
+    """The prompt before the payload; a null prompt is an empty one."""
+    return requests if prompt is None else requests.withColumn("payload", F.concat(F.coalesce(prompt, F.lit("")), F.col("payload")))
 
 
 def group_by_seed(sentences: DataFrame) -> DataFrame:

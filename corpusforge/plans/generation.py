@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import LABELS, MAX_RETRY
+from ..constants import LABELS, LANG_NAMES, MAX_RETRY
 from ..operators import generation as g
 from ..operators.lengths import length_profile
 from ..operators.outcomes import split_pass
@@ -22,7 +22,11 @@ Stage = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class Models:
-    """The pluggable stages. Each text model maps a request table to one with ``response``."""
+    """The pluggable stages. Each text model maps a request table to one with ``response``.
+
+    Requests have a ``payload`` and a ``context`` (JSON). ``prompts`` are columns over a request, by kind: plan, write, retry, sentiment,
+    language; ``names`` are the languages' names.
+    """
 
     plan: Stage
     write: Stage
@@ -30,6 +34,11 @@ class Models:
     judge_language: Stage
     sentiment: Stage  # adds sentiment_label and sentiment_conf
     language: Stage  # adds lid_lang and lid_conf
+    prompts: dict[str, Column] = field(default_factory=dict)
+    names: dict[str, str] = field(default_factory=lambda: LANG_NAMES)
+
+    def asked(self, kind: str, requests: DataFrame, context: DataFrame) -> DataFrame:
+        return g.with_context(requests, context, self.prompts.get(kind))
 
 
 def _targets(df: DataFrame) -> DataFrame:
@@ -41,7 +50,7 @@ def _twice(requests: DataFrame, model: Stage, valid: Callable[[DataFrame], DataF
 
     ``valid`` maps responses to the request keys it accepts.
     """
-    keys = [c for c in requests.columns if c not in ("payload", "ask")]
+    keys = [c for c in requests.columns if c not in ("payload", "context", "ask")]
     first = materialize(model(requests.withColumn("ask", F.lit(1))))
     good = materialize(valid(first).select(*keys).distinct())
     # an answer that never parsed is final: the model stage has used its own attempts on it
@@ -53,20 +62,23 @@ def _twice(requests: DataFrame, model: Stage, valid: Callable[[DataFrame], DataF
     return materialize(kept.unionByName(second.select(*kept.columns)))
 
 
-def plan_batches(seeds: DataFrame, models: Models) -> DataFrame:
-    answers = _twice(g.plan_requests(seeds), models.plan, lambda r: g.flatten_plans(r, seeds))
+def plan_batches(seeds: DataFrame, models: Models, context: DataFrame | None = None) -> DataFrame:
+    """Variation plans of all batches; ``context`` as of ``batch_context``, by default from the lengths of these seeds."""
+    if context is None:
+        context = g.batch_context(seeds, length_profile(seeds, ["lang", "label"]), models.names)
+    answers = _twice(models.asked("plan", g.plan_requests(seeds), context), models.plan, lambda r: g.flatten_plans(r, seeds))
     return materialize(g.flatten_plans(answers, seeds))
 
 
-def validate(sentences: DataFrame, models: Models) -> DataFrame:
-    """Sentiment verdicts for all sentences, language verdicts for those that pass."""
+def validate(sentences: DataFrame, models: Models, context: DataFrame) -> DataFrame:
+    """Sentiment verdicts for all sentences, language verdicts for those that pass; ``context`` as of ``seed_context``."""
     scored = materialize(g.group_by_seed(models.sentiment(sentences)))
-    ask_sv = g.verdict_requests(scored, "sentiment_label", "sentiment_conf")
+    ask_sv = models.asked("sentiment", g.verdict_requests(scored, "sentiment_label", "sentiment_conf"), context)
     sv = _twice(ask_sv, models.judge_sentiment, lambda r: g.answered_groups(scored, r, "sv"))
     judged = materialize(g.apply_verdicts(scored, sv, "sv").drop("idx"))
     ok, other = split_pass(judged, "sv_verdict")
     named = materialize(g.group_by_seed(models.language(ok)))
-    ask_lv = g.verdict_requests(named, "lid_lang", "lid_conf")
+    ask_lv = models.asked("language", g.verdict_requests(named, "lid_lang", "lid_conf"), context)
     lv = _twice(ask_lv, models.judge_language, lambda r: g.answered_groups(named, r, "lv"))
     done = g.apply_verdicts(named, lv, "lv").drop("idx")
     return materialize(union_all(done, other))
@@ -79,13 +91,15 @@ def run_rounds(seeds: DataFrame, models: Models, profile: DataFrame | None = Non
     One pass per attempt, each over whole tables.
     """
     profile = length_profile(seeds, ["lang", "label"]) if profile is None else profile
-    plans = plan_batches(seeds, models)
-    answers = _twice(g.sentence_requests(plans), models.write, lambda r: g.first_sentences(r, plans))
+    batch = materialize(g.batch_context(seeds, profile, models.names))
+    about = g.seed_context(seeds, models.names)
+    plans = plan_batches(seeds, models, batch)
+    answers = _twice(models.asked("write", g.sentence_requests(plans), batch), models.write, lambda r: g.first_sentences(r, plans))
     current = materialize(g.first_sentences(answers, plans))
     accepted, discarded, retried, produced = [], [], [], []
     for attempt in range(MAX_RETRY + 1):
         produced.append(current.select(*g.BATCH, "sid"))
-        routed = materialize(g.length_filter(g.route(validate(current, models)), seeds, profile))
+        routed = materialize(g.length_filter(g.route(validate(current, models, about)), seeds, profile))
         accepted.append(routed.where("route = 'accept'"))
         discarded.append(routed.where("route = 'discard'"))
         queue = routed.where("route = 'retry'").drop("route")
@@ -93,7 +107,7 @@ def run_rounds(seeds: DataFrame, models: Models, profile: DataFrame | None = Non
         if attempt == MAX_RETRY or not queue.take(1):
             break
         last = union_all(*produced).groupBy(*g.BATCH).agg(F.max("sid").alias("last"))
-        requests = g.retry_requests(queue)
+        requests = models.asked("retry", g.retry_requests(queue), batch)
         current = materialize(g.zip_retry(models.write(requests.withColumn("ask", F.lit(1))), queue, last))
     out = {n: _targets(union_all(*frames)).drop("route") for n, frames in
            (("accepted", accepted), ("discarded", discarded), ("retried", retried))}

@@ -1,10 +1,12 @@
 """The generation loop against a sequential copy that works through one batch at a time."""
 
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 from corpusforge import testbed
 from corpusforge.plans.generation import run_rounds
 from corpusforge.operators.lengths import length_profile
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,10 +76,32 @@ def run_batch(batch_idx, seeds, std):
     return out
 
 
+def with_prompts(models):
+    """Prompts made from the context of every kind of request, taken off again before the stand-ins; without them no answer parses."""
+    of = lambda n: F.get_json_object("context", n)
+    head = F.concat(of("$.language"), F.lit("|"), of("$.label"), F.lit("|"))
+    batch = F.concat(head, F.size(F.from_json(of("$.seeds"), "array<struct<id bigint>>")).cast("string"), F.lit("|"))
+    seed = F.concat(head, of("$.seed"), F.lit("|"))
+    kinds = {"plan": batch, "write": batch, "retry": batch, "sentiment": seed, "language": seed}
+
+    def checked(model, *allowed):
+        def run(requests):
+            payload = F.lit("no prompt")
+            for k in allowed:
+                start = F.concat(F.lit(f"{k}>"), kinds[k])
+                payload = F.when(F.startswith(F.col("payload"), start), F.substr(F.col("payload"), F.length(start) + 1)).otherwise(payload)
+            return model(requests.withColumn("payload", payload))
+        return run
+
+    prompts = {k: F.concat(F.lit(f"{k}>"), c) for k, c in kinds.items()}
+    return replace(models, prompts=prompts, names={"en": "English"}, plan=checked(models.plan, "plan"), write=checked(models.write, "write", "retry"),
+                   judge_sentiment=checked(models.judge_sentiment, "sentiment"), judge_language=checked(models.judge_language, "language"))
+
+
 def test_loop_equals_sequential_copy(spark):
     seeds = testbed.seed_batches(spark, SF).cache()
     profile = length_profile(seeds, ["lang", "label"])
-    got = run_rounds(seeds, testbed.loop_models(), profile)
+    got = run_rounds(seeds, with_prompts(testbed.loop_models()), profile)
     stds = {(r["lang"], r["label"]): (round(r["std"], 1) if r["std"] is not None else 14.0) for r in profile.collect()}
     batches = defaultdict(list)
     for r in seeds.collect():
