@@ -15,6 +15,8 @@ from corpusforge.llm import decontam, jaccard, langid, secret_scan, sentpiece
 from corpusforge.llm.tables import materialize, null_join, read
 from corpusforge.session import ship
 
+#: Leaders per posting list and round of the near copies: at 0.8 a group of copies hangs together loosely, one leader meets few of it.
+LEADERS = (1, 8, 8)
 #: Documents whose language is less probable than this are rejected.
 MIN_SCORE = 0.5
 
@@ -46,7 +48,7 @@ def _by_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8): the one with the smallest id."""
     ship(spark)
-    kept = jaccard.cluster(docs, k=5, percent=80).where("keep")
+    kept = jaccard.cluster(docs, k=5, percent=80, leaders=LEADERS).where("keep")
     key = _free(docs, "text_key")
     once = _by_text(docs, kept, "left_semi").withColumn(key, F.xxhash64("text"))
     return once.dropDuplicates(["doc_id", key]).select(*docs.columns)

@@ -19,8 +19,8 @@ _FLUSH = 1 << 22
 #: Shared prefix shingles that are asked for at least (fewer for small sets) and at most.
 MATCHES = 5
 MOST_MATCHES = 9
-#: Rounds in which each posting list is compared with one of its members only.
-ROUNDS = 2
+#: Rounds in which each posting list is compared with so many of its members only.
+LEADERS = (1, 1)
 #: Words of 64 bits in the parity bitmap of a set; a fixed size for every set.
 WORDS = 8
 
@@ -207,7 +207,7 @@ def _pair(x: str, y: str):
     return F.greatest(x, y).alias("a"), F.least(x, y).alias("b")
 
 
-def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, leaders: tuple[int, ...] = LEADERS) -> DataFrame:
     """Components of the documents whose shingle sets (``k`` words) have a Jaccard similarity of ``percent`` / 100 or more.
 
     Words have no ASCII white space; A-Z count as a-z. Returns one row per row of ``docs``: id, ``n_shingles``,
@@ -218,8 +218,8 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
 
     1. Equal sets become one class. 2. Postings of the adaptive prefixes; lists of one class go, and classes with fewer
     shared shingles than any partner asks for. 3. Rounds: every list
-    is compared with one member, and lists within one component go, so dense groups of near copies need a few comparisons
-    per member. 4. All pairs of different components that are left and share the asked number of prefix shingles are compared. Within
+    is compared with at most ``leaders[round]`` members, and lists within one component go, so groups of near copies need a few comparisons
+    per member. More leaders join loosely linked groups earlier; the rows are the same for any number. 4. All pairs of different components that are left and share the asked number of prefix shingles are compared. Within
     this join, and before whole sets are fetched, a parity bitmap of fixed size per set bounds the overlap from above, so pairs just below the
     similarity go without being emitted and no link is lost.
     """
@@ -244,11 +244,14 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     links = spark.createDataFrame([], "a long, b long")
     done = links
     state = some.select("row", F.col("row").alias("comp"))
-    for r in range(ROUNDS):
+    for r, many in enumerate(leaders):
         now = posts.join(state, "row")
-        lead = (now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
-                                         F.min_by(F.struct("row", "n", "l", "pos", "comp"), F.xxhash64("row", F.lit(r))).alias("lead"))
-                .where("low <> high").select("token", "lead"))
+        chosen = F.min_by(F.struct("row", "n", "l", "pos", "comp"), F.xxhash64("row", F.lit(r))).alias("lead")
+        if many == 1:
+            lead = (now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), chosen)
+                    .where("low <> high").select("token", "lead"))
+        else:  # one leader of each slice of a list
+            lead = now.groupBy("token", F.pmod(F.xxhash64("row", F.lit(r), F.lit("slice")), F.lit(many)).alias("slice")).agg(chosen).select("token", "lead")
         pairs = (now.join(lead, "token").where("comp <> lead.comp").where(_may("", "lead.", percent))
                  .groupBy(*_pair("row", "lead.row")).agg(F.count("*").alias("hits")).where("hits > 1").select("a", "b")
                  .join(done, ["a", "b"], "left_anti"))

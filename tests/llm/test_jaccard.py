@@ -72,8 +72,8 @@ def test_dense_groups(spark):
     docs = list(enumerate(texts))
     random.Random(2).shuffle(docs)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    for k, percent in ((3, 90), (2, 60), (5, 80)):
-        got = sorted(tuple(r)[:3] for r in jaccard.cluster(df, k=k, percent=percent).collect())
+    for k, percent, leaders in ((3, 90, (1, 1)), (2, 60, (1,)), (5, 80, (1, 8, 8))):
+        got = sorted(tuple(r)[:3] for r in jaccard.cluster(df, k=k, percent=percent, leaders=leaders).collect())
         want = []
         sets = brute.shingle_set
         brute.shingle_set = lambda t, n=3, k=k: sets(t, k)
