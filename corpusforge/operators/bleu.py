@@ -1,10 +1,12 @@
 """BLEU of synthetic texts against a reference corpus and against each other.
 
-All n-gram counts of a group are aggregated once; no text is compared with another text.
+All n-gram counts of a group are aggregated once, by 64-bit hashes; no text is compared with another text.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from .lengths import drop_null_text
 
 ORDERS = (1, 2, 3, 4)
 SMOOTHING = 0.1
+#: Words whose n-grams are counted at once.
+_WORDS = 1 << 18
 
 
 def _worded(corpus: DataFrame, by: list[str], key: str) -> DataFrame:
@@ -21,14 +25,71 @@ def _worded(corpus: DataFrame, by: list[str], key: str) -> DataFrame:
         "hl", F.size("w"))
 
 
+def _row(by: list[str]) -> Column:
+    return F.xxhash64(*by, "k")
+
+
 def _grams(worded: DataFrame, by: list[str]) -> DataFrame:
-    """Occurrences ``c`` of each n-gram of each text."""
-    arrays = F.array(*[F.struct(F.lit(n).alias("n"), ngrams_of(F.col("w"), n).alias("gs")) for n in ORDERS])
-    return (
-        worded.select(*by, "k", F.explode(arrays).alias("x"))
-        .select(*by, "k", F.col("x.n").alias("n"), F.explode("x.gs").alias("g"))
-        .groupBy(*by, "k", "n", "g").agg(F.count(F.lit(1)).alias("c"))
-    )
+    """(g, row, nc) for each n-gram of each text: a 64-bit hash of group, order and words, the hash of group and key, and count and order in one
+    number, ``4 * count + n - 1``.
+
+    Texts are counted where they lie, rows of one key together, so that only these numbers go through the shuffle, once, and no task
+    holds the n-grams of more than a few texts.
+    """
+    texts = worded.select(*by, "k", F.transform("w", lambda x: F.xxhash64(x)).alias("w")).groupBy(*by, "k").agg(F.collect_list("w").alias("ws"))
+    texts = texts.select(F.xxhash64(*by).alias("grp"), _row(by).alias("row"), "ws")
+    return texts.mapInArrow(_count_batches, "g long, row long, nc int").where(F.col("g").isNotNull()).repartition("g")  # the filter that joins add: one exchange serves all readers
+
+
+def _count_batches(batches):
+    for batch in batches:
+        ws = batch.column("ws")
+        inner, at = ws.flatten(), ws.offsets.to_numpy() - ws.offsets[0].as_py()  # texts of a row
+        stops = np.concatenate([[0], np.cumsum(inner.value_lengths().to_numpy())]).astype(np.int64)  # words of a text
+        words_of = inner.flatten().to_numpy().view(np.uint64)
+        grp, row = (batch.column(c).to_numpy().view(np.uint64) for c in ("grp", "row"))
+        ends, i = stops[at], 0  # words of a row
+        while i < len(row):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + _WORDS, side="right")) - 1)
+            texts = np.repeat(np.arange(at[i], at[j]), np.diff(stops[at[i]:at[j] + 1]))
+            g, r, nc = count_grams(words_of[ends[i]:ends[j]], texts, np.repeat(np.arange(i, j), np.diff(ends[i:j + 1])), grp)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(row.view(np.int64)[r]), pa.array(nc, pa.int32())], ["g", "row", "nc"])
+            i = j
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def count_grams(words_of: np.ndarray, text: np.ndarray, row: np.ndarray, grp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of each row as (hash, row, 4 * count + n - 1), from the word hashes of its texts; no n-gram crosses two texts."""
+    out = []
+    h = _mixed(words_of ^ grp[row])
+    for n in ORDERS:
+        if n > 1:
+            inside = text[n - 1:] == text[:len(text) - n + 1]
+            h = _mixed(h[:len(inside)] * np.uint64(0x9E3779B97F4A7C15) + words_of[n - 1:] + np.uint64(n))
+            g, r = h[inside], row[:len(inside)][inside]
+        else:
+            g, r = h, row
+        _, first, count = np.unique(g + _mixed(r.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
+        order = np.argsort(first)
+        first = first[order]
+        out.append((g[first], r[first], 4 * count[order] + n - 1))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _sums(counted: DataFrame, name: str) -> DataFrame:
+    """Per text the sums of ``x`` over its n-grams of each order, as ``name`` 1 to 4."""
+    return counted.groupBy("row").agg(*[F.sum(F.when(F.col("n") == n, F.col("x")).otherwise(0)).alias(f"{name}{n}") for n in ORDERS])
+
+
+def _with_sums(worded: DataFrame, sums: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Texts with their sums, 0 where there are none; a text without a key has none."""
+    row = F.when(F.col("k").isNotNull(), _row(by))
+    return worded.select(*by, "k", "hl", row.alias("row")).join(sums, "row", "left").drop("row").na.fill(0, [f"{name}{n}" for n in ORDERS])
 
 
 def _nearest(lengths: DataFrame, by: list[str]) -> DataFrame:
@@ -66,10 +127,13 @@ def _score(clipped: DataFrame, nearest: DataFrame, by: list[str]) -> DataFrame:
 def bleu_scores(hyps: DataFrame, refs: DataFrame, by: list[str], key: str = "id") -> DataFrame:
     """Sentence BLEU of each hypothesis with every reference text of its group as reference."""
     h, r = _worded(hyps, by, key), _worded(refs, by, key)
-    ceiling = _grams(r, by).groupBy(*by, "n", "g").agg(F.max("c").alias("cap"))
-    matched = _grams(h, by).join(ceiling, by + ["n", "g"]).groupBy(*by, "k").agg(*[
-        F.sum(F.when(F.col("n") == n, F.least("c", "cap")).otherwise(0)).alias(f"m{n}") for n in ORDERS])
-    clipped = h.select(*by, "k", "hl").join(matched, by + ["k"], "left").na.fill(0, [f"m{n}" for n in ORDERS])
+    return _bleu(h, r, _grams(h, by), by, key)
+
+
+def _bleu(h: DataFrame, r: DataFrame, grams: DataFrame, by: list[str], key: str) -> DataFrame:
+    ceiling = _grams(r, by).groupBy("g").agg(F.max("nc").alias("cap"))
+    matched = grams.join(ceiling, "g").select("row", (F.col("nc") % 4 + 1).alias("n"), F.shiftright(F.least("nc", "cap"), 2).alias("x"))
+    clipped = _with_sums(h, _sums(matched, "m"), by, "m")
     lengths = (
         h.groupBy(*by, "hl").agg(F.count(F.lit(1)).alias("hyps"), F.lit(0).alias("refs"))
         .unionByName(r.groupBy(*by, "hl").agg(F.lit(0).alias("hyps"), F.count(F.lit(1)).alias("refs")))
@@ -86,17 +150,17 @@ def self_bleu_scores(corpus: DataFrame, by: list[str], key: str = "id") -> DataF
     n-gram is charged to its single owner, down to the second-largest count.
     """
     worded = _worded(corpus, by, key)
-    per_count = _grams(worded, by).groupBy(*by, "n", "g", "c").agg(
-        F.count(F.lit(1)).alias("texts"), F.min("k").alias("k"))
-    tops = per_count.groupBy(*by, "n", "g").agg(
-        F.max(F.struct("c", "texts", "k")).alias("top"),
-        F.sort_array(F.collect_set("c"), asc=False).alias("cs"))  # distinct counts of one n-gram: few
+    return _self_bleu(worded, _grams(worded, by), by, key)
+
+
+def _self_bleu(worded: DataFrame, grams: DataFrame, by: list[str], key: str) -> DataFrame:
+    tops = grams.groupBy("g", "nc").agg(F.count(F.lit(1)).alias("texts"), F.min("row").alias("row")).groupBy("g").agg(
+        F.max(F.struct("nc", "texts", "row")).alias("top"),
+        F.sort_array(F.collect_set("nc"), asc=False).alias("cs"))  # distinct counts of one n-gram: few
+    second = F.shiftright(F.coalesce(F.try_element_at("cs", F.lit(2)), F.lit(0)), 2)
     loss = tops.where("top.texts = 1").select(
-        *by, "n", F.col("top.k").alias("k"),
-        (F.col("top.c") - F.coalesce(F.try_element_at("cs", F.lit(2)), F.lit(0))).alias("loss"))
-    lost = loss.groupBy(*by, "k").agg(*[
-        F.sum(F.when(F.col("n") == n, F.col("loss")).otherwise(0)).alias(f"l{n}") for n in ORDERS])
-    clipped = worded.select(*by, "k", "hl").join(lost, by + ["k"], "left").na.fill(0, [f"l{n}" for n in ORDERS]).select(
+        F.col("top.row").alias("row"), (F.col("top.nc") % 4 + 1).alias("n"), (F.shiftright("top.nc", 2) - second).alias("x"))
+    clipped = _with_sums(worded, _sums(loss, "l"), by, "l").select(
         *by, "k", "hl", *[(F.greatest(F.lit(0), F.col("hl") - (n - 1)) - F.col(f"l{n}")).alias(f"m{n}") for n in ORDERS])
     lengths = worded.groupBy(*by, "hl").agg(F.count(F.lit(1)).alias("refs")).withColumns(
         {"hyps": F.col("refs"), "own": F.lit(True)})
@@ -104,23 +168,33 @@ def self_bleu_scores(corpus: DataFrame, by: list[str], key: str = "id") -> DataF
         "bleu", F.coalesce("bleu", F.lit(0.0))).withColumnRenamed("k", key)
 
 
+def _mean_self(scores: DataFrame, by: list[str]) -> DataFrame:
+    return scores.groupBy(*by).agg(F.avg("bleu").alias("self_bleu"))
+
+
+def _mean_vs_ref(hyps: DataFrame, scores: DataFrame, by: list[str]) -> DataFrame:
+    groups = drop_null_text(hyps).select(*by).distinct()
+    means = scores.groupBy(*by).agg(F.avg("bleu").alias("bleu_vs_ref"))
+    return groups.join(means, by, "left").withColumn("bleu_vs_ref", F.coalesce("bleu_vs_ref", F.lit(0.0)))
+
+
 def self_bleu(corpus: DataFrame, by: list[str], key: str = "id") -> DataFrame:
     """Mean self-BLEU per group; 0.0 for a single text."""
-    return self_bleu_scores(corpus, by, key).groupBy(*by).agg(F.avg("bleu").alias("self_bleu"))
+    return _mean_self(self_bleu_scores(corpus, by, key), by)
 
 
 def bleu_vs_ref(hyps: DataFrame, refs: DataFrame, by: list[str], key: str = "id") -> DataFrame:
     """Mean BLEU per group against the reference corpus; 0.0 for a group without references."""
-    groups = drop_null_text(hyps).select(*by).distinct()
-    means = bleu_scores(hyps, refs, by, key).groupBy(*by).agg(F.avg("bleu").alias("bleu_vs_ref"))
-    return groups.join(means, by, "left").withColumn("bleu_vs_ref", F.coalesce("bleu_vs_ref", F.lit(0.0)))
+    return _mean_vs_ref(hyps, bleu_scores(hyps, refs, by, key), by)
 
 
 def bleu_report(corpus: DataFrame, key: str = "id") -> DataFrame:
     """Per language: macro means over labels and the value of each label."""
     by = ["lang", "label"]
     syn, seed = corpus.where("corpus = 'syn'"), corpus.where("corpus = 'seed'")
-    both = self_bleu(syn, by, key).join(bleu_vs_ref(syn, seed, by, key), by)
+    h, r = _worded(syn, by, key), _worded(seed, by, key)
+    grams = _grams(h, by)  # one shuffle for both reports
+    both = _mean_self(_self_bleu(h, grams, by, key), by).join(_mean_vs_ref(syn, _bleu(h, r, grams, by, key), by), by)
     cell = lambda c, x, name: F.max(F.when(F.col("label") == x, F.col(c))).alias(f"{x[:3]}_{name}")
     return both.groupBy("lang").agg(
         F.avg("self_bleu").alias("macro_self_bleu"), F.avg("bleu_vs_ref").alias("macro_bleu_vs_seed"),

@@ -89,3 +89,25 @@ def test_novelty_counts_zero(spark):
     known = vocabulary.vocabulary(corpus(spark, 1, corpus="seed"), ["lang"])
     r = vocabulary.novelty(corpus(spark, 3), known, ["lang"]).first()
     assert (r["n"], r["mean"], r["below_1"], r["below_0"]) == (3, 0.0, 3, 0)
+
+
+def test_bleu_counts_ngrams_per_key_by_hash(spark, monkeypatch):
+    """Only numbers leave the counting tasks; n-grams of a key's texts are counted together and cross neither texts nor slices."""
+    rows = [(1, "a b a b"), (1, "a b"), (2, "a b"), (3, ""), (4, "c"), (None, "a b c d e")]
+    df = spark.createDataFrame([("x", i, t) for i, t in rows], "lang string, id long, text string")
+    want = {}
+    for i, t in rows:
+        w = t.split()
+        for n in bleu.ORDERS:
+            for j in range(len(w) - n + 1):
+                key = (i, n, tuple(w[j:j + n]))
+                want[key] = want.get(key, 0) + 1
+    for words in (1, 1 << 18):
+        monkeypatch.setattr(bleu, "_WORDS", words)
+        got = bleu._grams(bleu._worded(df, ["lang"], "id"), ["lang"])
+        assert dict(got.dtypes) == {"g": "bigint", "row": "bigint", "nc": "int"}
+        got = got.collect()
+        assert sorted((r.nc % 4 + 1, r.nc // 4) for r in got) == sorted((n, c) for (_, n, _), c in want.items())
+        assert len({r.g for r in got}) == len({k[1:] for k in want}) and len({r.row for r in got}) == 4
+    report = bleu.bleu_report(df.selectExpr("id", "lang", "'positive' AS label", "text", "CASE WHEN id = 2 THEN 'seed' ELSE 'syn' END AS corpus"))
+    assert "g:string" not in report._jdf.queryExecution().toString() and report.count() == 1
