@@ -32,9 +32,10 @@ def bigram_sets(spark, d):
   SELECT lang, 3, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM tok)
   GROUP BY ALL"""))
 def token_ngrams(spark, d):
-    c = corpus(spark, d).withColumn("t", T.tokens("text"))
-    grams = F.array(*[F.struct(F.lit(n).alias("n"), T.ngrams_of(F.col("t"), n).alias("gs")) for n in (1, 2, 3)])
-    rows = c.select("lang", F.explode(grams).alias("x")).select("lang", "x.n", F.explode("x.gs").alias("g"))
+    # tokens are made once a row, n-grams leave it as 64-bit hashes
+    grams = T.bind(T.tokens("text"), lambda t: F.array(*[
+        F.struct(F.lit(n).alias("n"), F.transform(T.ngrams_of(t, n), lambda g: F.xxhash64(g)).alias("gs")) for n in (1, 2, 3)]))
+    rows = corpus(spark, d).select("lang", F.explode(grams).alias("x")).select("lang", "x.n", F.explode("x.gs").alias("g"))
     counts = rows.groupBy("lang", "n", "g").agg(F.count(F.lit(1)).alias("c"))
     return counts.groupBy("lang", "n").agg(F.sum("c").alias("grams"), F.count(F.lit(1)).alias("distinct_grams"))
 

@@ -18,15 +18,16 @@ def vocabulary(corpus: DataFrame, by: list[str]) -> DataFrame:
         *by, F.explode(F.array_distinct(tokens("text"))).alias("token")).distinct()
 
 
-def gram_counts(corpus: DataFrame, n: int, by: list[str]) -> DataFrame:
-    """Occurrences of each n-gram per group."""
-    return drop_null_text(corpus).select(*by, F.explode(ngrams("text", n)).alias("gram")).groupBy(
+def gram_counts(corpus: DataFrame, n: int, by: list[str], hashed: bool = False) -> DataFrame:
+    """Occurrences of each n-gram per group; ``hashed`` names n-grams by 64 bits, for reports that only count them."""
+    grams = F.transform(ngrams("text", n), lambda g: F.xxhash64(g)) if hashed else ngrams("text", n)
+    return drop_null_text(corpus).select(*by, F.explode(grams).alias("gram")).groupBy(
         *by, "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinct_n(corpus: DataFrame, n: int, by: list[str]) -> DataFrame:
     """Unique over total n-grams; 0.0 for a group without any."""
-    stats = gram_counts(corpus, n, by).groupBy(*by).agg(
+    stats = gram_counts(corpus, n, by, hashed=True).groupBy(*by).agg(
         F.count(F.lit(1)).alias("unique"), F.sum("n").alias("total"))
     groups = drop_null_text(corpus).select(*by).distinct()
     return join_on(groups, stats, by, "left").select(

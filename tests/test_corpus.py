@@ -111,3 +111,21 @@ def test_bleu_counts_ngrams_per_key_by_hash(spark, monkeypatch):
         assert len({r.g for r in got}) == len({k[1:] for k in want}) and len({r.row for r in got}) == 4
     report = bleu.bleu_report(df.selectExpr("id", "lang", "'positive' AS label", "text", "CASE WHEN id = 2 THEN 'seed' ELSE 'syn' END AS corpus"))
     assert "g:string" not in report._jdf.queryExecution().toString() and report.count() == 1
+
+
+def test_counted_ngrams_leave_rows_as_hashes(spark, tmp_path):
+    """Reports that only count n-grams shuffle numbers, and tokens are made once a row."""
+    from corpusforge.catalog.texts import token_ngrams
+    d = str(tmp_path)
+    texts = ["A b a b", "a b", "", None, "one", "c d e c d e"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    grams = {n: Counter(tuple(w[i:i + n]) for w in ((t or "").lower().split() for t in texts) for i in range(len(w) - n + 1)) for n in (1, 2, 3)}
+    got = token_ngrams(spark, d)
+    assert {r.n: (r.grams, r.distinct_grams) for r in got.collect()} == {n: (sum(c.values()), len(c)) for n, c in grams.items()}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    rows = spark.createDataFrame([("x", t) for t in texts], "lang string, text string")
+    counts = vocabulary.gram_counts(rows, 2, ["lang"], hashed=True)
+    assert dict(counts.dtypes)["gram"] == "bigint" and sorted(r.n for r in counts.collect()) == sorted(grams[2].values())
+    report = vocabulary.distinct_n(rows, 2, ["lang"])
+    assert (report.first().unique, report.first().total) == (len(grams[2]), sum(grams[2].values()))
