@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -54,10 +55,19 @@ def norm_and_trigrams(spark, d):
                     F.md5(F.concat_ws("|", F.sort_array("g"))).alias("trigrams_md5"))
 
 
-def _next_doc(spark, d):
-    """Each document next to the one with the following id."""
-    c = corpus(spark, d).select("id", "lang", "text")
-    return c.join(c.select((F.col("id") - 1).alias("id"), F.col("text").alias("other")), "id")
+#: Consecutive ids of a block; the first row of a block goes to the one before it too.
+_BLOCK = 64
+
+
+def _next_doc(spark, d, sets: dict):
+    """Each document's sets next to those of every one with the following id: texts go through the shuffle once, and sets are made once a row, behind it."""
+    block = F.floor(F.col("id") / _BLOCK).cast("long")
+    c = corpus(spark, d).select("id", "text").where("id IS NOT NULL")
+    c = c.withColumn("block", F.explode(F.when(F.pmod("id", F.lit(_BLOCK)) == 0, F.array(block, block - 1)).otherwise(F.array(block))))
+    c = c.repartition("block").select("id", "block", F.struct(*[x.alias(n) for n, x in sets.items()]).alias("a"))
+    after = Window.partitionBy("block").orderBy("id").rangeBetween(1, 1)
+    rows = c.withColumn("b", F.collect_list("a").over(after)).where(F.col("block") == block)
+    return rows.select("id", "a", F.explode("b").alias("b"))
 
 
 @query("pair_similarities", sql("bg", f"""SELECT a.id,
@@ -69,12 +79,10 @@ def _next_doc(spark, d):
   JOIN (SELECT id, list_distinct(list_transform(range(1, length(h) - 1), lambda i: substr(h, i, 3))) AS g FROM ({_NORM})) y ON y.id = b.id
   """, "jaccard_bigram jaccard_trigram"))
 def pair_similarities(spark, d):
-    p = _next_doc(spark, d)
-    p = p.withColumns({"ga": T.bigram_set("text"), "gb": T.bigram_set("other"),
-                       "ta": T.char_trigrams("text"), "tb": T.char_trigrams("other")})
-    common = F.size(F.array_intersect("ta", "tb"))
-    return p.select("id", T.jaccard(F.col("ga"), F.col("gb")).alias("jaccard_bigram"),
-                    (common / F.greatest(F.lit(1), F.size("ta") + F.size("tb") - common)).alias("jaccard_trigram"))
+    p = _next_doc(spark, d, {"g": T.bigram_set("text"), "t": T.char_trigrams("text")})
+    common = F.size(F.array_intersect("a.t", "b.t"))
+    return p.select("id", T.jaccard(F.col("a.g"), F.col("b.g")).alias("jaccard_bigram"),
+                    (common / F.greatest(F.lit(1), F.size("a.t") + F.size("b.t") - common)).alias("jaccard_trigram"))
 
 
 @query("benchmark_edit_ratio", sql("", """SELECT a.item_id, CASE WHEN greatest(length(a.h), length(b.h)) = 0 THEN 1.0
