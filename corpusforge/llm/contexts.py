@@ -19,7 +19,7 @@ from .tables import bit_filter, in_filter, materialize, null_join
 #: Items (bytes or words) of text over which a task folds equal anchors and contexts before it emits them.
 FLUSH = 1 << 25
 #: Contexts go sooner, once a task holds so many different ones or occurrences, or as many bytes of them as ``held`` of the unit says.
-HELD_CONTEXTS, HELD_PLACES = 200_000, 1_000_000
+HELD_CONTEXTS, HELD_PLACES = 60_000, 250_000
 
 #: Bytes of text taken together where every byte has a window: some twenty numbers a byte are held at a time.
 TOGETHER = 1 << 18
@@ -63,7 +63,7 @@ class Bytes:
 class Spaced:
     """Windows of ``size`` words without ASCII white space."""
 
-    held = 1 << 25
+    held = 1 << 23
 
     def __init__(self, size: int):
         self.size, self.k = size, max(1, (size + 2) // 3)
