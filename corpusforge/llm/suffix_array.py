@@ -15,39 +15,75 @@ from .tables import materialize
 
 #: Contexts of one suffix array, about; and contexts of one anchor above which it is split by whole windows.
 GROUP, HOT = 4_000, 16_000
+#: Bytes of suffixes that are spelled out and sorted at once, about; bytes of text hashed at once; and numbers in one step of a comparison.
+SPELLED, SLICE, STEP = 1 << 22, 1 << 18, 1 << 19
 
 
-def suffix_order(data: np.ndarray, at: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Enhanced suffix array over the suffixes ``at`` (each ending at ``end``, ``size`` bytes long at least) that share their first
-    ``size`` bytes with another: indices of ``at`` in sorted order, and the common-prefix length of each with the one before.
+def _prefix_hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes from each of ``at`` (ascending) on, over ``SLICE`` bytes at a time."""
+    out = np.zeros(at.size, np.uint64)
+    cuts = np.append(np.searchsorted(at, np.arange(0, data.size, SLICE)), at.size)
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if i < j:
+            base = int(at[i])
+            out[i:j] = nptext.range_hash(data[base:int(at[j - 1]) + size], at[i:j] - base, at[i:j] - base + size)
+    return out
 
-    Suffixes are ordered by a hash of their first ``size`` bytes and then by their bytes; common prefixes are compared byte by byte.
-    """
-    prefix = nptext.range_hash(data, at, at + size)
-    _, group, count = np.unique(prefix, return_inverse=True, return_counts=True)
-    some = np.flatnonzero(count[group] > 1)
-    if not some.size:
-        return some, some
-    at, end, group = at[some], end[some], group[some]
+
+def _whole_groups(group: np.ndarray, rows: int):
+    """Stretches of at most ``rows`` of the sorted ``group``, or of one group that is larger; no group is cut."""
+    cuts = np.append(np.flatnonzero(np.diff(group, prepend=-1)), group.size)
+    i = 0
+    while i < group.size:
+        j = int(cuts[max(np.searchsorted(cuts, i + rows, side="right") - 1, np.searchsorted(cuts, i, side="right"))])
+        yield i, j
+        i = j
+
+
+def _sorted_tails(data: np.ndarray, at: np.ndarray, end: np.ndarray, group: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes by ``group`` and then by the bytes after the first ``size``, and common prefixes with the one before in the group."""
     longest = int((end - at).max()) - size
-    tail = np.zeros((some.size, longest + 1), np.uint8)
+    step = max(1, STEP // (size + longest + 1))
+    tail = np.zeros((at.size, longest + 1), np.uint8)
     column = np.arange(longest)
-    for i in range(0, some.size, 1 << 14):
-        place = at[i:i + (1 << 14), None] + size + column
-        inside = place < end[i:i + (1 << 14), None]
-        tail[i:i + (1 << 14), :-1] = np.where(inside, data[np.minimum(place, data.size - 1)], 0)
+    for i in range(0, at.size, step):
+        place = at[i:i + step, None] + size + column
+        inside = place < end[i:i + step, None]
+        tail[i:i + step, :-1] = np.where(inside, data[np.minimum(place, data.size - 1)], 0)
     order = np.lexsort((tail.view(f"V{longest + 1}").ravel().view(f"S{longest + 1}"), group))
     at, end, group, tail = at[order], end[order], group[order], tail[order]
-    common = np.zeros(some.size, np.int64)
+    common = np.zeros(at.size, np.int64)
     same = np.flatnonzero(group[1:] == group[:-1]) + 1
     first = np.arange(size)
-    for i in range(0, same.size, 1 << 14):
-        s = same[i:i + (1 << 14)]
+    for i in range(0, same.size, step):
+        s = same[i:i + step]
         full = (data[at[s, None] + first] == data[at[s - 1, None] + first]).all(axis=1)
         differ = tail[s] != tail[s - 1]
         run = np.where(differ.any(axis=1), differ.argmax(axis=1), longest)
         common[s] = np.where(full, np.minimum(size + run, np.minimum(end[s] - at[s], end[s - 1] - at[s - 1])), 0)
-    return some[order], common
+    return order, common
+
+
+def suffix_order(data: np.ndarray, at: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Enhanced suffix array over the suffixes ``at`` (ascending; each ending at ``end``, ``size`` bytes long at least) that share their first
+    ``size`` bytes with another: indices of ``at`` in sorted order, and the common-prefix length of each with the one before.
+
+    Suffixes are ordered by a hash of their first ``size`` bytes and then by their bytes; common prefixes are compared byte by byte.
+    Suffixes of different hashes have no prefix in common, so whole groups of one hash are sorted a stretch at a time: only that many
+    suffixes are spelled out at once.
+    """
+    _, group, count = np.unique(_prefix_hashes(data, at, size), return_inverse=True, return_counts=True)
+    some = np.flatnonzero(count[group] > 1)
+    if not some.size:
+        return some, some
+    some = some[np.argsort(group[some], kind="stable")]
+    group = group[some]
+    common = np.zeros(some.size, np.int64)
+    for i, j in _whole_groups(group, max(1, SPELLED // int((end[some] - at[some]).max()))):
+        own = some[i:j]
+        order, common[i:j] = _sorted_tails(data, at[own], end[own], group[i:j], size)
+        some[i:j] = own[order]
+    return some, common
 
 
 def intervals(common: np.ndarray, left: np.ndarray, least: int):
