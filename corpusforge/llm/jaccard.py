@@ -63,6 +63,14 @@ def _parity(d: np.ndarray, g: np.ndarray, rows: int) -> np.ndarray:
     return bits.reshape(rows, WORDS)
 
 
+def _often(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values that stand ``REPEATED`` times or more, and how often. ``grams`` is sorted in place: only such values take further room."""
+    grams.sort()
+    last = REPEATED - 1
+    u = np.unique(grams[last:][grams[last:] == grams[:max(grams.size - last, 0)]])
+    return u, np.searchsorted(grams, u, side="right") - np.searchsorted(grams, u)
+
+
 def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Estimated document frequency per bucket of shingles, from those that repeat inside tasks, over all documents.
 
@@ -73,9 +81,10 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
         held, n, sums = [], 0, np.zeros(SKETCH, np.int64)
 
         def flush():
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= REPEATED
-            np.add.at(sums, _bucket(u[often]), c[often])
+            grams = np.concatenate(held)
+            held.clear()
+            u, c = _often(grams)
+            np.add.at(sums, _bucket(u), c)
 
         for batch in batches:
             for _, _, _, g in _sets(batch.column(0), k):
@@ -83,7 +92,7 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
                 n += g.size
                 if n >= _FLUSH:
                     flush()
-                    held, n = [], 0
+                    n = 0
         if held:
             flush()
         some = np.flatnonzero(sums)
