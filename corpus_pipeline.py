@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.llm import decontam, jaccard, langid, secret_scan, sentpiece
-from corpusforge.llm.tables import materialize, null_join, read
-from corpusforge.session import ship
+from corpusforge.llm.tables import materialize, null_join, read, start
 
 #: Leaders per posting list and round of the near copies: at 0.8 a group of copies hangs together loosely, one leader meets few of it.
 LEADERS = (1, 8, 8)
@@ -23,7 +22,7 @@ MIN_SCORE = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those of no clear language, go. Trained on the documents outside the held-out fold."""
-    ship(spark)
+    start(spark)
     model = langid.train(docs.where(~langid.held_out()).select("text", "lang"))
     lang, score = _free(docs, "lang_pred"), _free(docs, "score")
     named = langid.predict(docs, model, lang_pred=lang, score_col=score)
@@ -47,7 +46,7 @@ def _by_text(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8): the one with the smallest id."""
-    ship(spark)
+    start(spark)
     kept = jaccard.cluster(docs, k=5, percent=80, leaders=LEADERS).where("keep")
     key = _free(docs, "text_key")
     once = _by_text(docs, kept, "left_semi").withColumn(key, F.xxhash64("text"))
@@ -56,14 +55,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a word in a ten-word window of a benchmark item go."""
-    ship(spark)
+    start(spark)
     leaks = decontam.decontaminate(docs, read(spark, sf_dir, "benchmark")).where("n_hit > 0")
     return _by_text(docs, leaks, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
-    ship(spark)
+    start(spark)
     spans = _free(docs, "spans")
     found = secret_scan.scan(docs, secret_scan.fit(secret_scan.samples(docs)), spans=spans)
     safe = found.withColumn("text", secret_scan.redact(F.col("text"), F.col(spans)))
@@ -72,7 +71,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document with seeded merge-dropout, and the digest of what they decode to."""
-    ship(spark)
+    start(spark)
     got = sentpiece.encode_table(docs.select("doc_id", "lang", "source", "text"), sentpiece.model_path(), dropout=0.1, seed=17)
     return got.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_crc32", "decoded_sha256", sentpiece.same_text(got).alias("lossless"))
 
@@ -91,7 +90,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    ship(spark)
+    start(spark)
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))

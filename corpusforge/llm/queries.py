@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, ship
+from ..session import scratch_path
 from . import comparison, decontam, huffman, jaccard, langid, lexical, maxscore, merkle, secret_scan, sentpiece, suffix_array, suffix_tree, token_counts, warc
-from .tables import read
+from .tables import read, start
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +20,7 @@ def query(name: str, oracle: str | None = None):
 
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
+            start(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run

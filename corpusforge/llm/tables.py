@@ -6,14 +6,20 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, ship, small_batches
 
-__all__ = ["materialize", "null_join", "read", "bit_filter", "in_filter", "FILTER_BITS"]
+__all__ = ["start", "materialize", "null_join", "read", "bit_filter", "in_filter", "FILTER_BITS"]
 
 #: Bits of a membership filter: its size is the same for every input, a fuller filter only lets more rows through.
 FILTER_BITS = 1 << 26
 
 
+def start(spark: SparkSession) -> None:
+    """What every query of this subpackage begins with: the package on the executors, and small batches of whole texts."""
+    ship(spark)
+    small_batches(spark)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

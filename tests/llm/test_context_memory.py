@@ -1,7 +1,7 @@
 """What a task holds at once on its way through whole texts."""
 
 from corpusforge import session
-from corpusforge.llm import contexts
+from corpusforge.llm import contexts, tables
 from pyspark.sql import functions as F
 
 BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -20,10 +20,10 @@ def most_rows(df):
 def test_batches_of_whole_texts_are_small(spark):
     other = spark.newSession()  # settings of its own
     rows = lambda: other.range(9_000).coalesce(1)
-    session.ship(other)
+    tables.start(other)
     assert most_rows(rows()) == session.BATCH_ROWS
     other.conf.set(BATCHES, "10000")  # named by the user
-    session.ship(other)
+    tables.start(other)
     assert other.conf.get(BATCHES) == "10000" and most_rows(rows()) == 9_000
 
 
