@@ -56,3 +56,17 @@ def test_blocks_meet_in_rounds(spark, monkeypatch):
     crossed = similarity.cross_similarity(rows.where("id < 30"), rows.where("id >= 30"))
     assert {r["id"]: r["best"] for r in crossed.collect()} == {
         r["id"]: r["best"] for r in similarity.cross_similarity(rows.where("id < 30"), rows.where("id >= 30").repartition(3)).collect()}
+
+
+def test_batch_leaves_no_sets_beside_its_index(spark, tmp_path):
+    from corpusforge.streaming.index import SetIndex
+    from corpusforge.streaming.ingest import judge_batch
+
+    rows, before = texts(spark), tables(spark)
+    index = SetIndex(spark, f"{tmp_path}/index", 0.5)
+    index.create(rows)
+    kept = judge_batch(rows, index, 0, ["id"]).where("outcome = 'accepted'").select("id").collect()
+    assert not any({"grams", "text"} & set(spark.read.parquet(f"{shared_folder(spark)}/{f}").columns) for f in tables(spark) - before)
+    assert {r["id"] for r in kept} == {r["id"] for r in similarity.dedup_greedy(rows, ["id"]).where("kept").collect()}
+    again = judge_batch(rows.withColumn("id", F.col("id") + 100), index, 1, ["id"])
+    assert again.where("outcome = 'accepted'").count() == 0
