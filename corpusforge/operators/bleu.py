@@ -1,10 +1,12 @@
 """BLEU of synthetic texts against a reference corpus and against each other.
 
-All n-gram counts of a group are aggregated once, by 64-bit hashes; no text is compared with another text.
+All n-gram counts of a group are aggregated, by 64-bit hashes, in turns of a part of them each; no text is compared with another text.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,12 +14,15 @@ from pyspark.sql import functions as F
 
 from ..constants import LABELS
 from ..functions.text import ngrams_of, words
+from ..session import materialize
 from .lengths import drop_null_text
 
 ORDERS = (1, 2, 3, 4)
 SMOOTHING = 0.1
 #: Words whose n-grams are counted at once.
 _WORDS = 1 << 18
+#: Groups of n-grams to a shuffle partition, and turns in which all n-grams are compared: more turns hold less disk, and count the texts again.
+_PARTS, ROUNDS = 4, 3
 
 
 def _worded(corpus: DataFrame, by: list[str], key: str) -> DataFrame:
@@ -30,31 +35,48 @@ def _row(by: list[str]) -> Column:
 
 
 def _grams(worded: DataFrame, by: list[str]) -> DataFrame:
-    """(g, row, nc) for each n-gram of each text: a 64-bit hash of group, order and words, the hash of group and key, and count and order in one
-    number, ``4 * count + n - 1``.
+    """(g, row, nc) for each n-gram of each text, as ``_packed`` has them."""
+    packed = reduce(DataFrame.unionByName, [_packed(worded, by, 1, k) for k in range(ROUNDS)])
+    return packed.select(F.inline(F.arrays_zip("g", "row", "nc")))
+
+
+def _packed(worded: DataFrame, by: list[str], parts: int, turn: int, rows: bool = True) -> DataFrame:
+    """The n-grams of each text, packed by the task ``p`` that compares them: ``g``, a 64-bit hash of group, order and words, ``row``, the hash of
+    group and key, and count and order in one number, ``4 * count + n - 1``.
 
     Texts are counted where they lie, rows of one key together, so that only these numbers go through the shuffle, once, and no task
-    holds the n-grams of more than a few texts.
+    holds the n-grams of more than a few texts. A ``turn`` has its share of all n-grams; ``rows`` are left out where nothing asks for them.
     """
     texts = worded.select(*by, "k", F.transform("w", lambda x: F.xxhash64(x)).alias("w")).groupBy(*by, "k").agg(F.collect_list("w").alias("ws"))
     texts = texts.select(F.xxhash64(*by).alias("grp"), _row(by).alias("row"), "ws")
-    return texts.mapInArrow(_count_batches, "g long, row long, nc int").where(F.col("g").isNotNull()).repartition("g")  # the filter that joins add: one exchange serves all readers
-
-
-def _count_batches(batches):
-    for batch in batches:
-        ws = batch.column("ws")
-        inner, at = ws.flatten(), ws.offsets.to_numpy() - ws.offsets[0].as_py()  # texts of a row
-        stops = np.concatenate([[0], np.cumsum(inner.value_lengths().to_numpy())]).astype(np.int64)  # words of a text
-        words_of = inner.flatten().to_numpy().view(np.uint64)
-        grp, row = (batch.column(c).to_numpy().view(np.uint64) for c in ("grp", "row"))
-        ends, i = stops[at], 0  # words of a row
-        while i < len(row):
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] + _WORDS, side="right")) - 1)
-            texts = np.repeat(np.arange(at[i], at[j]), np.diff(stops[at[i]:at[j] + 1]))
-            g, r, nc = count_grams(words_of[ends[i]:ends[j]], texts, np.repeat(np.arange(i, j), np.diff(ends[i:j + 1])), grp)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(row.view(np.int64)[r]), pa.array(nc, pa.int32())], ["g", "row", "nc"])
-            i = j
+    return texts.mapInArrow(_count_batches(parts, turn, rows), "p int, g array<long>, row array<long>, nc array<int>")
+
+
+def _count_batches(parts: int, turn: int, rows: bool):
+    def work(batches):
+        for batch in batches:
+            ws = batch.column("ws")
+            inner, at = ws.flatten(), ws.offsets.to_numpy() - ws.offsets[0].as_py()  # texts of a row
+            stops = np.concatenate([[0], np.cumsum(inner.value_lengths().to_numpy())]).astype(np.int64)  # words of a text
+            words_of = inner.flatten().to_numpy().view(np.uint64)
+            grp, row = (batch.column(c).to_numpy().view(np.uint64) for c in ("grp", "row"))
+            ends, i = stops[at], 0  # words of a row
+            while i < len(row):
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + _WORDS, side="right")) - 1)
+                texts = np.repeat(np.arange(at[i], at[j]), np.diff(stops[at[i]:at[j] + 1]))
+                g, r, nc = count_grams(words_of[ends[i]:ends[j]], texts, np.repeat(np.arange(i, j), np.diff(ends[i:j + 1])), grp)
+                mine = np.flatnonzero((g >> np.uint64(8)) % np.uint64(ROUNDS) == np.uint64(turn))
+                g, r, nc = g[mine], r[mine], nc[mine]
+                p = ((g >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(p, kind="stable")
+                which, first = np.unique(p[order], return_index=True)
+                bounds = pa.array(np.append(first, len(p)).astype(np.int32))
+                packed = lambda x, kind: pa.ListArray.from_arrays(bounds, pa.array(x[order], kind))
+                lists = [packed(g.view(np.int64), pa.int64()), packed(row.view(np.int64)[r], pa.int64()) if rows else pa.nulls(len(which), pa.list_(pa.int64())), packed(nc, pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(which), *lists], names=["p", "g", "row", "nc"])
+                i = j
+
+    return work
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -81,14 +103,52 @@ def count_grams(words_of: np.ndarray, text: np.ndarray, row: np.ndarray, grp: np
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _sums(counted: DataFrame, name: str) -> DataFrame:
-    """Per text the sums of ``x`` over its n-grams of each order, as ``name`` 1 to 4."""
-    return counted.groupBy("row").agg(*[F.sum(F.when(F.col("n") == n, F.col("x")).otherwise(0)).alias(f"{name}{n}") for n in ORDERS])
+def _tally(table, refs) -> pa.Table:
+    """Of the n-grams of some texts that are compared here, and those of the references, per text and order: ``l``, by how much it holds
+    n-grams more often than any other text, and ``m``, how many the references match."""
+    flat = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy()
+    g, row, nc = (flat(table, c) for c in ("g", "row", "nc"))
+    order = np.lexsort((nc, g))
+    g, row, n, count = g[order], row[order], nc[order] % 4, nc[order].astype(np.int64) >> 2
+    rows, at = np.unique(row, return_inverse=True)
+    sums = np.zeros((2, len(rows), len(ORDERS)), np.int64)
+    same = g[1:] == g[:-1]
+    last = np.flatnonzero(np.append(~same, np.ones(min(len(g), 1), bool)))  # the largest count of each n-gram
+    second = np.where(np.append(np.zeros(min(len(g), 1), bool), same)[last], count[last - 1], 0)
+    np.add.at(sums[0], (at[last], n[last]), np.where(count[last] > second, count[last] - second, 0))
+    if refs is not None:
+        known, cap = flat(refs, "g"), flat(refs, "nc")
+        order = np.lexsort((cap, known))
+        known, cap = known[order], cap[order].astype(np.int64) >> 2
+        place = np.searchsorted(known, g, side="right") - 1  # the largest count of each n-gram
+        hit = np.flatnonzero((place >= 0) & (known[np.maximum(place, 0)] == g)) if len(known) else np.zeros(0, np.int64)
+        np.add.at(sums[1], (at[hit], n[hit]), np.minimum(count[hit], cap[place[hit]]))
+    return pa.table([pa.array(rows, pa.int64()), *[pa.array(sums[i, :, k]) for i in (0, 1) for k in range(len(ORDERS))]], names=["row", *_TALLIES])
+
+
+_TALLIES = [f"{x}{n}" for x in "lm" for n in ORDERS]
+
+
+def _tallies(h: DataFrame, r: DataFrame | None, by: list[str]) -> DataFrame:
+    """Written sums of ``_tally`` per text (``row``)."""
+    parts = _PARTS * int(h.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "row long, " + ", ".join(f"{c} long" for c in _TALLIES)
+    total = lambda df: materialize(df.groupBy("row").agg(*[F.sum(c).alias(c) for c in _TALLIES]))
+
+    def turn(k: int) -> DataFrame:
+        mine = _packed(h, by, parts, k).groupBy("p")
+        if r is None:
+            return mine.applyInArrow(lambda t: _tally(t, None), schema)
+        return mine.cogroup(_packed(r, by, parts, k, rows=False).groupBy("p")).applyInArrow(lambda t, refs: _tally(t, refs), schema)
+
+    # the shuffle files of a turn go before the next
+    return total(reduce(DataFrame.unionByName, [total(turn(k)) for k in range(ROUNDS)]))
 
 
 def _with_sums(worded: DataFrame, sums: DataFrame, by: list[str], name: str) -> DataFrame:
     """Texts with their sums, 0 where there are none; a text without a key has none."""
     row = F.when(F.col("k").isNotNull(), _row(by))
+    sums = sums.select("row", *[f"{name}{n}" for n in ORDERS])
     return worded.select(*by, "k", "hl", row.alias("row")).join(sums, "row", "left").drop("row").na.fill(0, [f"{name}{n}" for n in ORDERS])
 
 
@@ -127,13 +187,11 @@ def _score(clipped: DataFrame, nearest: DataFrame, by: list[str]) -> DataFrame:
 def bleu_scores(hyps: DataFrame, refs: DataFrame, by: list[str], key: str = "id") -> DataFrame:
     """Sentence BLEU of each hypothesis with every reference text of its group as reference."""
     h, r = _worded(hyps, by, key), _worded(refs, by, key)
-    return _bleu(h, r, _grams(h, by), by, key)
+    return _bleu(h, r, _tallies(h, r, by), by, key)
 
 
-def _bleu(h: DataFrame, r: DataFrame, grams: DataFrame, by: list[str], key: str) -> DataFrame:
-    ceiling = _grams(r, by).groupBy("g").agg(F.max("nc").alias("cap"))
-    matched = grams.join(ceiling, "g").select("row", (F.col("nc") % 4 + 1).alias("n"), F.shiftright(F.least("nc", "cap"), 2).alias("x"))
-    clipped = _with_sums(h, _sums(matched, "m"), by, "m")
+def _bleu(h: DataFrame, r: DataFrame, tallies: DataFrame, by: list[str], key: str) -> DataFrame:
+    clipped = _with_sums(h, tallies, by, "m")
     lengths = (
         h.groupBy(*by, "hl").agg(F.count(F.lit(1)).alias("hyps"), F.lit(0).alias("refs"))
         .unionByName(r.groupBy(*by, "hl").agg(F.lit(0).alias("hyps"), F.count(F.lit(1)).alias("refs")))
@@ -150,17 +208,11 @@ def self_bleu_scores(corpus: DataFrame, by: list[str], key: str = "id") -> DataF
     n-gram is charged to its single owner, down to the second-largest count.
     """
     worded = _worded(corpus, by, key)
-    return _self_bleu(worded, _grams(worded, by), by, key)
+    return _self_bleu(worded, _tallies(worded, None, by), by, key)
 
 
-def _self_bleu(worded: DataFrame, grams: DataFrame, by: list[str], key: str) -> DataFrame:
-    tops = grams.groupBy("g", "nc").agg(F.count(F.lit(1)).alias("texts"), F.min("row").alias("row")).groupBy("g").agg(
-        F.max(F.struct("nc", "texts", "row")).alias("top"),
-        F.sort_array(F.collect_set("nc"), asc=False).alias("cs"))  # distinct counts of one n-gram: few
-    second = F.shiftright(F.coalesce(F.try_element_at("cs", F.lit(2)), F.lit(0)), 2)
-    loss = tops.where("top.texts = 1").select(
-        F.col("top.row").alias("row"), (F.col("top.nc") % 4 + 1).alias("n"), (F.shiftright("top.nc", 2) - second).alias("x"))
-    clipped = _with_sums(worded, _sums(loss, "l"), by, "l").select(
+def _self_bleu(worded: DataFrame, tallies: DataFrame, by: list[str], key: str) -> DataFrame:
+    clipped = _with_sums(worded, tallies, by, "l").select(
         *by, "k", "hl", *[(F.greatest(F.lit(0), F.col("hl") - (n - 1)) - F.col(f"l{n}")).alias(f"m{n}") for n in ORDERS])
     lengths = worded.groupBy(*by, "hl").agg(F.count(F.lit(1)).alias("refs")).withColumns(
         {"hyps": F.col("refs"), "own": F.lit(True)})
@@ -193,8 +245,8 @@ def bleu_report(corpus: DataFrame, key: str = "id") -> DataFrame:
     by = ["lang", "label"]
     syn, seed = corpus.where("corpus = 'syn'"), corpus.where("corpus = 'seed'")
     h, r = _worded(syn, by, key), _worded(seed, by, key)
-    grams = _grams(h, by)  # one shuffle for both reports
-    both = _mean_self(_self_bleu(h, grams, by, key), by).join(_mean_vs_ref(syn, _bleu(h, r, grams, by, key), by), by)
+    tallies = _tallies(h, r, by)  # one shuffle for both reports
+    both = _mean_self(_self_bleu(h, tallies, by, key), by).join(_mean_vs_ref(syn, _bleu(h, r, tallies, by, key), by), by)
     cell = lambda c, x, name: F.max(F.when(F.col("label") == x, F.col(c))).alias(f"{x[:3]}_{name}")
     return both.groupBy("lang").agg(
         F.avg("self_bleu").alias("macro_self_bleu"), F.avg("bleu_vs_ref").alias("macro_bleu_vs_seed"),

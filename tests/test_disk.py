@@ -70,3 +70,17 @@ def test_batch_leaves_no_sets_beside_its_index(spark, tmp_path):
     assert {r["id"] for r in kept} == {r["id"] for r in similarity.dedup_greedy(rows, ["id"]).where("kept").collect()}
     again = judge_batch(rows.withColumn("id", F.col("id") + 100), index, 1, ["id"])
     assert again.where("outcome = 'accepted'").count() == 0
+
+
+def test_bleu_compares_ngrams_in_turns(spark, monkeypatch):
+    """Any number of turns gives the same scores, from small written sums; no n-gram stays in the plan of the report."""
+    from corpusforge.operators import bleu
+
+    rows = texts(spark).selectExpr("id", "lang", "'positive' AS label", "text", "CASE WHEN id % 4 = 0 THEN 'seed' ELSE 'syn' END AS corpus")
+    got = bleu.bleu_report(rows)
+    assert "InArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+    values = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x or "" for x in r) for r in df.collect())
+    want = values(got)
+    for turns in (1, 3):
+        monkeypatch.setattr(bleu, "ROUNDS", turns)
+        assert values(bleu.bleu_report(rows)) == want
